@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeglean.session import scratch
+from lakeglean.session import scratch, ship
 from lakeglean.sources.fs import Fs
 
 SMALL = 1_048_576
@@ -86,6 +86,7 @@ def plan_merges(small: DataFrame, target: int = TARGET, advisory_bytes: int = 4
     file_id, size) as its input, else ChecksumMismatch is raised.
     """
     spark = small.sparkSession
+    ship(spark)
     staged = scratch(spark, "small-files")
     small.write.parquet(staged)
     source = spark.read.schema(small.schema).parquet(staged)

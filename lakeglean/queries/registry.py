@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lakeglean.queries import training
+from lakeglean.queries import search, training
 
-MODULES = [training]
-FLAGSHIP = "p2_profile"
+MODULES = [training, search]
+FLAGSHIP = "fts_top10_bm25"
 
 
 def queries() -> dict:
