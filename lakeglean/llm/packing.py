@@ -9,6 +9,8 @@ from collections import defaultdict, deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeglean.session import ship
+
 CAPACITY = 2048
 #: Items held back to choose from. More make fuller containers at more cost each.
 WINDOW = 512
@@ -192,6 +194,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, t
     """
     if capacity < 1 or window < 1:
         raise ValueError("capacity and window must be at least 1")
+    ship(documents.sparkSession)
     own = documents.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().alias("part"))
     return own.mapInArrow(_Pack(capacity, window, tokenizer or default_tokenizer(), id_col), SCHEMA.format(id=f"`{id_col}`"))
 
