@@ -88,24 +88,27 @@ class ManifestTable:
                 s.files[a["path"]] = a
                 if not changes and since is not None and v > since:
                     s.moved_in.add(a["path"])
-            s.vectors += m.get("vectors", [])
+            s.vectors = [x for x in s.vectors + m.get("vectors", []) if x not in set(m.get("clear", []))]
             s.txn |= m.get("txn", {})
         return s
 
-    def commit(self, *, add: DataFrame | None = None, remove: list[str] = (), vector: DataFrame | None = None,
-               txn: dict[str, int] | None = None, data_change: bool = True, expect: int | None = None) -> int:
-        """Publish one version. ``vector`` holds (__file, __pos) of rows to delete.
+    def write_files(self, df: DataFrame, options: dict | None = None) -> dict:
+        """Write immutable files that no version names yet; what a commit needs to name them."""
+        folder = f"data/{uuid.uuid4().hex}"
+        df.write.options(**(options or {})).parquet(f"{self.root}/{folder}")
+        return {"add": [{"path": p[len("data/"):], "size": n} for p, n in self.fs.data_files(folder)], "schema": df.schema.json()}
+
+    def commit(self, *, add: DataFrame | dict | None = None, remove: list[str] = (), vector: DataFrame | None = None,
+               txn: dict[str, int] | None = None, data_change: bool = True, expect: int | None = None, clear: list[str] = (), **extra) -> int:
+        """Publish one version. ``vector`` holds (__file, __pos) of rows to delete; ``clear`` names vectors that no file needs any more.
 
         Files are written first and only named by the manifest, whose exclusive
         creation is the commit; a writer that loses the race gets CommitConflict.
         """
         base = self.version() if expect is None else expect
-        m: dict = {"remove": list(remove), "txn": txn or {}, "data_change": data_change}
+        m: dict = {"remove": list(remove), "clear": list(clear), "txn": txn or {}, "data_change": data_change} | extra
         if add is not None:
-            folder = f"data/{uuid.uuid4().hex}"
-            add.write.parquet(f"{self.root}/{folder}")
-            m["add"] = [{"path": p[len("data/"):], "size": n} for p, n in self.fs.data_files(folder)]
-            m["schema"] = add.schema.json()
+            m |= add if isinstance(add, dict) else self.write_files(add)
         if vector is not None:
             folder = f"vectors/{uuid.uuid4().hex}"
             vector.select(F.col(FILE).cast("string"), F.col(POSITION).cast("long")).write.parquet(f"{self.root}/{folder}")
@@ -150,14 +153,17 @@ class ManifestTable:
         * a file only in ``old``: its rows live at ``old`` are deletes;
         * a file in both: rows that vectors deleted in between are deletes.
 
-        Files moved by commits that changed no record (compaction) are skipped
-        on both sides, so rewriting never looks like new data.
+        Rows of files that commits without record changes (compaction) took out
+        or brought in are first cancelled against each other as multisets, so
+        rewriting never looks like new data and hides none either.
         """
         b = self.snapshot(new, since=old)
         a = self.snapshot(old)
         added = [p for p in b.files if p not in a.files and p not in b.moved_in]
         gone = [p for p in a.files if p not in b.files and p not in b.moved_out]
         kept = [p for p in a.files if p in b.files]
+        new_moved = [p for p in b.files if p not in a.files and p in b.moved_in]
+        old_moved = [p for p in a.files if p not in b.files and p in b.moved_out]
         fresh = [v for v in b.vectors if v not in set(a.vectors)]
         inserts = self._rows(b, added)
         if added and (dead := self._dead(b.vectors)) is not None:
@@ -176,7 +182,18 @@ class ManifestTable:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.drop(FILE, POSITION)
+        out = out.drop(FILE, POSITION)
+        if new_moved or old_moved:
+            def live(s: Snapshot, paths: list[str]) -> DataFrame:
+                rows = self._rows(b, paths)
+                if paths and (dead := self._dead(s.vectors)) is not None:
+                    rows = rows.join(dead, [FILE, POSITION], "left_anti")
+                return rows.drop(FILE, POSITION)
+
+            now, then = live(b, new_moved), live(a, old_moved)
+            out = (out.unionByName(now.exceptAll(then).withColumn(CHANGE, F.lit("insert")))
+                   .unionByName(then.exceptAll(now).withColumn(CHANGE, F.lit("delete"))))
+        return out
 
 
 def run_incremental(source: ManifestTable, sink: ManifestTable, app: str, transform: Callable[[DataFrame], DataFrame]) -> int | None:

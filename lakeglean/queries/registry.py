@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeglean.queries import search, training
+from lakeglean.queries import lake, recipes, search, training
 
-MODULES = [training, search]
+MODULES = [training, search, lake, recipes]
 FLAGSHIP = "fts_top10_bm25"
 
 
