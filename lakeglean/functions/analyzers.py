@@ -125,7 +125,10 @@ class Analyzer:
 
     # -- Column form -------------------------------------------------------
     def column(self, text: Column) -> Column:
-        """array<struct<pos int, term string>>, all in the JVM but for stemming."""
+        """array<struct<pos int, term string>>, all in the JVM unless words are stemmed."""
+        if self.stems:
+            both = analyse_udf(self)(text)
+            return F.when(text.isNotNull(), F.arrays_zip(both["pos"].alias("pos"), both["term"].alias("term")))
         t, kind = self.tokenizer, self.tokenizer["type"]
         if kind == "raw":
             words = F.array(text)
@@ -175,15 +178,15 @@ def _filter_column(tokens: Column, f: dict) -> Column:
         return F.filter(tokens, lambda t: F.octet_length(t["term"]) < int(f.get("max", 40)))
     if k == "stop_words":
         return F.filter(tokens, lambda t: ~t["term"].isin(_stop_words(f)))
-    stem = stem_udf(f["language"])
-    return F.when(tokens.isNotNull(), F.zip_with(tokens, stem(F.transform(tokens, lambda t: t["term"])), lambda t, s: F.struct(t["pos"].alias("pos"), s.alias("term"))))
+    raise AnalyzerError(f"unknown filter {k!r}")
 
 
-def stem_udf(language: str):
-    """Arrow-batched stemming of array<string>; repeated words are looked up."""
-    @F.pandas_udf("array<string>")
-    def stem(words: pd.Series) -> pd.Series:
-        one = LANGUAGES[language]
-        return words.map(lambda ws: None if ws is None else [one(w) for w in ws])
+def analyse_udf(analyzer: Analyzer):
+    """Arrow-batched analysis in Python: text to its positions and terms, as two arrays."""
 
-    return stem
+    @F.pandas_udf("pos array<int>, term array<string>")
+    def analyse(texts: pd.Series) -> pd.DataFrame:
+        found = [list(zip(*analyzer.tokens(t))) or [(), ()] for t in texts]
+        return pd.DataFrame({"pos": [list(p) for p, _ in found], "term": [list(w) for _, w in found]})
+
+    return analyse

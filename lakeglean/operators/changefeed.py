@@ -78,5 +78,5 @@ def committed_files(dbfiles: DataFrame, dbs: DataFrame, batches: int = BATCHES)
     file_id is a removal.
     """
     head = dbs.groupBy("db_id").agg(F.max("committed_gen").alias("head")).filter("head is not null")
-    feed = dbfiles.join(head, "db_id").filter("gen <= head").select("db_id", "path", "gen", "file_id", "size")
+    feed = dbfiles.select("db_id", "path", "gen", "file_id", "size").join(head, "db_id").filter("gen <= head").select("db_id", "path", "gen", "file_id", "size")
     return resolve(feed, ["db_id", "path"], "gen", ["file_id", "size"], tombstone=F.col("file_id").isNull(), batches=batches)

@@ -23,7 +23,8 @@ from lakeglean.plans.values import canonical_ip
 from lakeglean.session import scratch, ship
 from lakeglean.sources.fs import Fs
 
-POSTINGS = "_sid string, field string, path string, vtype string, term string, num double, _doc long, tf int, len int, positions array<int>"
+TERMS = "field string, path string, vtype string, term string, df long, cf long"
+POSTINGS = "field string, path string, vtype string, term string, num double, _doc long, tf int, len int, positions array<int>"
 #: Rows of a Parquet row group are kept few so that sorted terms prune well.
 ROW_GROUP = 4 << 20
 _VALUE_GAP = 1_000_000
@@ -177,11 +178,13 @@ def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None
     fields = [f for f in schema.fields.values() if f.name in kinds]
     stored = json_object([(f.name, F.col(column_of(f)), kinds[f.name], f.type == "json_object") for f in fields if f.stored])
     kept = [f for f in fields if f.fast or f.column or f.stored and f.type == "text"]
-    raw.select("_sid", "_doc", *(column_of(f) for f in kept), stored.alias("_stored")).write.partitionBy("_sid").parquet(f"{stage}/docs")
+    docs = raw.select("_sid", "_doc", *(column_of(f) for f in kept), stored.alias("_stored"))
+    docs.write.partitionBy("_sid").parquet(f"{stage}/docs")
     # documents move once, by ordinal; grouping by (ordinal, ...) then needs no further shuffle
     texts = [f for f in fields if f.indexed and f.type in ("text", "json_object")]
     if texts:
-        spread = raw.select("_sid", "_doc", *(column_of(f) for f in texts)).repartition("_doc")
+        # a stated number keeps AQE from merging partitions that are small in bytes but long in work
+        spread = raw.select("_sid", "_doc", *(column_of(f) for f in texts)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_doc")
         rows = None
         for f in texts:
             one = (spread.select("_sid", "_doc", _tokens(schema, f, kinds[f.name]).alias("ts")).filter("ts is not null")
@@ -190,17 +193,20 @@ def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None
                    .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
                    .select("_sid", F.lit(f.name).alias("field"), "path", "vtype", "term", "num", "_doc", "tf", "len", "positions"))
             rows = one if rows is None else rows.unionByName(one)
+        # written once before it is ranged: sampling for the ranges would analyse every text again
+        rows.write.parquet(f"{stage}/unsorted")
+        rows = spark.read.schema(rows.schema).parquet(f"{stage}/unsorted")
         (rows.repartitionByRange("_sid", "field", "path", "term").sortWithinPartitions("_sid", "field", "path", "term", "_doc")
          .write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/postings"))
-    _finish(spark, fs, schema, {s: p for p, s in targets.items()}, {targets[g["_path"]]: (g["docs"], g["last"]) for g in groups}, {f.name: k.json() for f, k in ((f, kinds[f.name]) for f in kept)})
+    _finish(spark, fs, schema, {s: p for p, s in targets.items()}, {targets[g["_path"]]: (g["docs"], g["last"]) for g in groups}, {f.name: kinds[f.name].json() for f in kept}, docs.drop("_sid").schema)
     return spark.createDataFrame([(g["_path"], g["docs"]) for g in groups], "path string, docs long")
 
 
-def _finish(spark: SparkSession, fs: Fs, schema: Schema, path_of: dict[str, str], counts: dict, kinds: dict[str, str]) -> None:
+def _finish(spark: SparkSession, fs: Fs, schema: Schema, path_of: dict[str, str], counts: dict, kinds: dict[str, str], docs_schema: T.StructType) -> None:
     """Dictionary, lengths and manifest of staged splits, moved to their targets; the manifest last."""
     lengths: dict[str, dict] = {s: {} for s in path_of}
     if fs.exists("postings"):
-        postings = spark.read.schema(POSTINGS).option("basePath", f"{fs.root}/postings").parquet(f"{fs.root}/postings")
+        postings = spark.read.schema(f"{POSTINGS}, _sid string").option("basePath", f"{fs.root}/postings").parquet(f"{fs.root}/postings")
         (postings.groupBy("_sid", "field", "path", "vtype", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
          .repartitionByRange("_sid", "field", "path", "term").sortWithinPartitions("_sid", "field", "path", "term")
          .write.partitionBy("_sid").parquet(f"{fs.root}/terms"))
@@ -213,7 +219,8 @@ def _finish(spark: SparkSession, fs: Fs, schema: Schema, path_of: dict[str, str]
         for part in ("docs", "postings", "terms"):
             if fs.exists(f"{part}/_sid={sid}"):
                 fs._fs.rename(fs.path(f"{part}/_sid={sid}"), out.path(f"{sid}-{part}"))
-        meta = {"sid": sid, "docs": counts[sid][0], "last": counts[sid][1], "tokens": lengths[sid], "schema": schema.to_json(), "kinds": kinds}
+        meta = {"sid": sid, "docs": counts[sid][0], "last": counts[sid][1], "tokens": lengths[sid], "schema": schema.to_json(), "kinds": kinds,
+                "docs_schema": docs_schema.jsonValue(), "parts": [p for p in ("docs", "postings", "terms") if out.exists(f"{sid}-{p}")]}
         if not out.put_if_absent("meta.json", json.dumps(meta)):
             for part in ("docs", "postings", "terms"):
                 out.delete(f"{sid}-{part}")
@@ -237,7 +244,12 @@ class Split:
         return f"{self.path}/{self.sid}-{part}"
 
     def has(self, part: str) -> bool:
-        return bool(self.fs.data_files(f"{self.sid}-{part}"))
+        return part in self.meta["parts"]
+
+    def read(self, part: str) -> DataFrame:
+        """One table of the split; its schema is known, so no footer is read to plan."""
+        schema = {"docs": None, "postings": POSTINGS, "terms": TERMS}[part] or T.StructType.fromJson(self.meta["docs_schema"])
+        return self.spark.read.schema(schema).parquet(self.folder(part))
 
 
 def drop(spark: SparkSession, path: str | None) -> bool | None:
@@ -279,12 +291,12 @@ def merge(spark: SparkSession, paths: list[str], target: str, exclude_field: str
     docs = postings = None
     base = 0
     for s in splits:
-        d = spark.read.parquet(s.folder("docs")).withColumn("_doc", F.col("_doc") + base)
+        d = s.read("docs").withColumn("_doc", F.col("_doc") + base)
         if exclude is not None:
             d = d.join(excluded_ids(spark, exclude, F.col(column_of(s.schema.fields[exclude_field])), d), column_of(s.schema.fields[exclude_field]), "left_anti")
         docs = d if docs is None else docs.unionByName(d, allowMissingColumns=True)
         if s.has("postings"):
-            p = spark.read.parquet(s.folder("postings")).withColumn("_doc", F.col("_doc") + base)
+            p = s.read("postings").withColumn("_doc", F.col("_doc") + base)
             if exclude is not None:
                 p = p.join(d.select("_doc"), "_doc", "left_semi")
             postings = p if postings is None else postings.unionByName(p)
@@ -297,5 +309,5 @@ def merge(spark: SparkSession, paths: list[str], target: str, exclude_field: str
     if not kept:
         Fs(spark, stage).delete("")
         return 0
-    _finish(spark, Fs(spark, stage), splits[0].schema, {sid: target}, {sid: (kept, base - 1)}, kinds)
+    _finish(spark, Fs(spark, stage), splits[0].schema, {sid: target}, {sid: (kept, base - 1)}, kinds, docs.schema)
     return kept

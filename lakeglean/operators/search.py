@@ -154,7 +154,7 @@ class Index:
         for i, s in enumerate(self.splits):
             if splits is not None and i not in splits or not s.has(part):
                 continue
-            df = self.spark.read.parquet(s.folder(part)).withColumn("_split", F.lit(i))
+            df = s.read(part).withColumn("_split", F.lit(i))
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
 
@@ -273,7 +273,9 @@ class Index:
             order = [F.desc_nulls_last("_sort") if down else F.asc_nulls_last("_sort"), F.asc("_split"), F.asc("_doc")]
         mark = self._marker(query, o, highlight) if o.get("highlight") else F.lit(None).cast("string")
         path = F.element_at(F.array(*(F.lit(p) for p in self.paths)), F.col("_split") + 1)
-        return hits.orderBy(*order).select("score", "doc", path.alias("path"), mark.alias("highlight"))
+        hits = hits.orderBy(*order)
+        hits = hits.limit(o["top_k"]) if small else hits  # the page again, so that ordering it needs no exchange
+        return hits.select("score", "doc", path.alias("path"), mark.alias("highlight"))
 
     def _shown(self, o: dict):
         """Function from the docs table to the JSON column of a hit."""
