@@ -58,7 +58,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p6_fill, p7_found, p7_leaks, p7_leaked_items, p8_found, p8_shares, p8_cleaning)}
 _WORDS = r"""
-with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') ws from documents),
+with w as (select doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\p{L}\p{N}]+') ws from documents),
 g as (select doc_id, pos, array_to_string(ws[pos:pos + 4], ' ') gram from (select doc_id, ws, unnest(range(1, len(ws) - 3)) pos from w)),
 again as (select doc_id, pos from g qualify row_number() over (partition by doc_id, gram order by pos) > 1),
 cover as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(pos, pos + 5)) p from again) group by 1),
