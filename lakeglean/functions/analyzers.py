@@ -67,6 +67,44 @@ def _part(spec, kinds: dict, what: str) -> dict:
     return spec
 
 
+class _Terms(dict):
+    """What the filters make of a word, or None; remembered, since every filter looks at one word."""
+
+    LIMIT = 500_000
+
+    def __init__(self, filters: list[dict]):
+        super().__init__()
+        self.filters = [(f["type"], f) for f in filters]
+        self.stops = [frozenset(_stop_words(f)) if k == "stop_words" else None for k, f in self.filters]
+
+    def __missing__(self, word: str) -> str | None:
+        term = self._filtered(word)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = term
+        return term
+
+    def _filtered(self, w: str) -> str | None:
+        for (k, f), stop in zip(self.filters, self.stops):
+            if k == "lowercase":
+                w = w.lower()
+            elif k == "ascii_folding":
+                w = w.translate(_FOLD_TABLE)
+            elif k == "alpha_num_only":
+                if not re.fullmatch(r"[^\W_]+", w):
+                    return None
+            elif k == "remove_long":
+                if len(w.encode()) >= int(f.get("max", 40)):
+                    return None
+            elif k == "stop_words":
+                if w in stop:
+                    return None
+            else:
+                w = LANGUAGES[f["language"]](w)
+        return w
+
+
 class Analyzer:
     """A validated analyzer: ``{"tokenizer": ..., "filters": [...]}`` or a built-in name."""
 
@@ -84,6 +122,7 @@ class Analyzer:
             re.compile(self.tokenizer["pattern"])
         if self.tokenizer["type"] == "ngram" and not 0 < int(self.tokenizer.get("min", 1)) <= int(self.tokenizer.get("max", 2)):
             raise AnalyzerError("ngram needs 0 < min <= max")
+        self.terms = _Terms(self.filters)
         self.stems = next((f["language"] for f in self.filters if f["type"] == "stemmer"), None)
 
     # -- Python form -------------------------------------------------------
@@ -104,24 +143,8 @@ class Analyzer:
             lo, hi = int(t.get("min", 1)), int(t.get("max", 2))
             starts = range(1 if t.get("prefix_only") else len(text))
             words = [text[i:i + n] for i in starts for n in range(lo, hi + 1) if i + n <= len(text)]
-        flat = kind == "ngram"
-        out = [(0 if flat else i, w) for i, w in enumerate(words)]
-        for f in self.filters:
-            k = f["type"]
-            if k == "lowercase":
-                out = [(i, w.lower()) for i, w in out]
-            elif k == "ascii_folding":
-                out = [(i, w.translate(_FOLD_TABLE)) for i, w in out]
-            elif k == "alpha_num_only":
-                out = [(i, w) for i, w in out if re.fullmatch(r"[^\W_]+", w)]
-            elif k == "remove_long":
-                out = [(i, w) for i, w in out if len(w.encode()) < int(f.get("max", 40))]
-            elif k == "stop_words":
-                stop = set(_stop_words(f))
-                out = [(i, w) for i, w in out if w not in stop]
-            else:
-                out = [(i, LANGUAGES[f["language"]](w)) for i, w in out]
-        return out
+        terms, flat = self.terms, kind == "ngram"
+        return [(0 if flat else i, t) for i, w in enumerate(words) if (t := terms[w]) is not None]
 
     # -- Column form -------------------------------------------------------
     def column(self, text: Column) -> Column:

@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,56 +85,76 @@ def _typed(f: Field, c: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
     return (F.transform(c, cast) if array else cast(c)), (T.ArrayType(want) if array else want)
 
 
-def _flatten_json(analyzer):
-    """Arrow-batched UDF: JSON text to its leaves, text analysed, typed by literal."""
-    def leaves(value, path, out, pos):
-        if isinstance(value, dict):
-            for k, v in value.items():
-                leaves(v, f"{path}.{k}" if path else k, out, pos)
-        elif isinstance(value, list):
-            for v in value:
-                leaves(v, path, out, pos)
-        elif isinstance(value, bool):
-            out.append((path, "b", str(value).lower(), float(value), pos.get(path, 0)))
-        elif isinstance(value, (int, float)):
-            out.append((path, "n", json.dumps(value), float(value), pos.get(path, 0)))
-        elif isinstance(value, str):
-            start, last = pos.get(path, 0), 0
-            for i, t in analyzer.tokens(value):
-                out.append((path, "s", t, None, start + i))
-                last = i
-            pos[path] = start + last + 2
-
-    @F.pandas_udf("array<struct<path:string,vtype:string,term:string,num:double,pos:int>>")
-    def flatten(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            try:
-                value = json.loads(text)
-            except ValueError:
-                raise ValueError(f"not a JSON object: {text[:80]}") from None
-            out: list = []
-            leaves(value, "", out, {})
-            return [dict(zip(("path", "vtype", "term", "num", "pos"), x)) for x in out]
-
-        return texts.map(one)
-
-    return flatten
-
-
-def _tokens(schema: Schema, f: Field, kind: T.DataType) -> Column:
-    """array<struct<path, vtype, term, num, pos>> of one indexed field."""
-    c = F.col(column_of(f))
-    if f.type == "json_object":
-        return _flatten_json(schema.analyzer(f.name))(c)
-    analyzer = schema.analyzer(f.name)
-    shape = lambda t, gap: F.struct(F.lit("").alias("path"), F.lit("s").alias("vtype"), t["term"].alias("term"), F.lit(None).cast("double").alias("num"), (t["pos"] + gap).cast("int").alias("pos"))
-    if isinstance(kind, T.ArrayType):
-        if analyzer.stems:
-            raise QueryError(f"field {f.name!r}: a stemmed field holds one value")
-        return F.flatten(F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v, i: F.transform(analyzer.column(v), lambda t: shape(t, i * _VALUE_GAP))))
-    return F.transform(analyzer.column(c), lambda t: shape(t, F.lit(0)))
+def _leaves(value, path: str, out: list, analyzer, pos: dict) -> None:
+    """(path, vtype, term, num, pos) of each leaf of a JSON value, text analysed."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            _leaves(v, f"{path}.{k}" if path else k, out, analyzer, pos)
+    elif isinstance(value, list):
+        for v in value:
+            _leaves(v, path, out, analyzer, pos)
+    elif isinstance(value, bool):
+        out.append((path, "b", str(value).lower(), float(value), pos.get(path, 0)))
+    elif isinstance(value, (int, float)):
+        out.append((path, "n", json.dumps(value), float(value), pos.get(path, 0)))
+    elif isinstance(value, str):
+        start, last = pos.get(path, 0), 0
+        for i, t in analyzer.tokens(value):
+            out.append((path, "s", t, None, start + i))
+            last = i
+        pos[path] = start + last + 2
+
+
+class _Analyse:
+    """mapInArrow function: rows of texts to postings, one for each term of a document.
+
+    A document's terms are grouped where it is read, so tokens are never shuffled.
+    """
+
+    def __init__(self, schema: dict, fields: list[str]):
+        self.schema, self.fields = schema, fields
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        schema = Schema(self.schema["entries"], self.schema["analyzers"])
+        fields = [(schema.fields[n], schema.analyzer(n)) for n in self.fields]
+        for b in batches:
+            sids, docs = b.column("_sid").to_pylist(), b.column("_doc").to_pylist()
+            for f, analyzer in fields:
+                rows = ([], [], [], [], [], [], [], [])
+                values, ends = [], [0]
+                for sid, doc, v in zip(sids, docs, b.column(column_of(f)).to_pylist()):
+                    if v is None:
+                        continue
+                    groups: dict = {}
+                    n = 0
+                    if f.type == "json_object":
+                        leaves: list = []
+                        try:
+                            _leaves(json.loads(v), "", leaves, analyzer, {})
+                        except ValueError:
+                            raise ValueError(f"not a JSON object: {v[:80]}") from None
+                        for path, vtype, term, num, pos in leaves:
+                            groups.setdefault((path, vtype, term, num), []).append(pos)
+                        n = len(leaves)
+                    else:
+                        for k, text in enumerate(v if isinstance(v, list) else (v,)):
+                            for pos, term in analyzer.tokens(text):
+                                groups.setdefault(term, []).append(pos + k * _VALUE_GAP)
+                                n += 1
+                    for key, at in groups.items():
+                        path, vtype, term, num = key if f.type == "json_object" else ("", "s", key, None)
+                        for c, x in zip(rows, (path, vtype, term, num, doc, len(at), n, sid)):
+                            c.append(x)
+                        values += at
+                        ends.append(len(values))
+                paths, vtypes, terms, nums, own, tfs, lens, of = rows
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f.name] * len(own), pa.string()), pa.array(paths, pa.string()), pa.array(vtypes, pa.string()), pa.array(terms, pa.string()), pa.array(nums, pa.float64()),
+                     pa.array(own, pa.int64()), pa.array(tfs, pa.int32()), pa.array(lens, pa.int32()), positions, pa.array(of, pa.string())],
+                    ["field", "path", "vtype", "term", "num", "_doc", "tf", "len", "positions", "_sid"])
 
 
 def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None, *, path_col: str | None = None, order: str | None = None) -> DataFrame:
@@ -180,22 +199,14 @@ def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None
     kept = [f for f in fields if f.fast or f.column or f.stored and f.type == "text"]
     docs = raw.select("_sid", "_doc", *(column_of(f) for f in kept), stored.alias("_stored"))
     docs.write.partitionBy("_sid").parquet(f"{stage}/docs")
-    # documents move once, by ordinal; grouping by (ordinal, ...) then needs no further shuffle
     texts = [f for f in fields if f.indexed and f.type in ("text", "json_object")]
     if texts:
-        # a stated number keeps AQE from merging partitions that are small in bytes but long in work
-        spread = raw.select("_sid", "_doc", *(column_of(f) for f in texts)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_doc")
-        rows = None
-        for f in texts:
-            one = (spread.select("_sid", "_doc", _tokens(schema, f, kinds[f.name]).alias("ts")).filter("ts is not null")
-                   .select("_sid", "_doc", F.size("ts").alias("len"), F.explode("ts").alias("t"))
-                   .groupBy("_sid", "_doc", "len", F.col("t.path").alias("path"), F.col("t.vtype").alias("vtype"), F.col("t.term").alias("term"), F.col("t.num").alias("num"))
-                   .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
-                   .select("_sid", F.lit(f.name).alias("field"), "path", "vtype", "term", "num", "_doc", "tf", "len", "positions"))
-            rows = one if rows is None else rows.unionByName(one)
+        spread, cores = raw.select("_sid", "_doc", *(column_of(f) for f in texts)), spark.sparkContext.defaultParallelism
+        if spread.rdd.getNumPartitions() < cores:  # small in bytes, but analysis is long in work
+            spread = spread.repartition(cores, "_doc")
         # written once before it is ranged: sampling for the ranges would analyse every text again
-        rows.write.parquet(f"{stage}/unsorted")
-        rows = spark.read.schema(rows.schema).parquet(f"{stage}/unsorted")
+        spread.mapInArrow(_Analyse(schema.to_json(), [f.name for f in texts]), f"{POSTINGS}, _sid string").write.parquet(f"{stage}/unsorted")
+        rows = spark.read.schema(f"{POSTINGS}, _sid string").parquet(f"{stage}/unsorted")
         (rows.repartitionByRange("_sid", "field", "path", "term").sortWithinPartitions("_sid", "field", "path", "term", "_doc")
          .write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/postings"))
     _finish(spark, fs, schema, {s: p for p, s in targets.items()}, {targets[g["_path"]]: (g["docs"], g["last"]) for g in groups}, {f.name: kinds[f.name].json() for f in kept}, docs.drop("_sid").schema)
