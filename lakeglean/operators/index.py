@@ -213,6 +213,45 @@ def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None
     return spark.createDataFrame([(g["_path"], g["docs"]) for g in groups], "path string, docs long")
 
 
+def from_json(df: DataFrame, doc_col: str, schema, analyzers: dict | None = None) -> DataFrame:
+    """Typed columns, one for each field, from a column of JSON documents.
+
+    One value or a list of them is taken for any field; a field with at most
+    one value in every row is a plain column. Unknown fields and nulls are left
+    out, rows with a null document too. A value that doesn't fit its field's
+    type is an error when the result is read.
+    """
+    schema = schema if isinstance(schema, Schema) else Schema(schema, analyzers)
+    v = F.parse_json(F.col(f"`{doc_col}`"))
+    base = df.filter(F.col(f"`{doc_col}`").isNotNull())
+    keep = [c for c in df.columns if c != doc_col and c not in schema.fields]
+    cols = []
+    for f in schema.fields.values():
+        path, kind = "$['%s']" % f.name.replace("'", "\\'"), "string" if f.type in ("json_object", "bytes", "ip_addr", "facet") else TYPES[f.type].simpleString()
+        raw = F.try_variant_get(v, path, "variant")
+        if f.type == "date":
+            one = F.coalesce(F.try_to_timestamp(F.try_variant_get(v, path, "string")), F.timestamp_millis(F.try_variant_get(v, path, "bigint")))
+            many = F.transform(F.try_variant_get(v, path, "array<string>"), lambda x: F.try_to_timestamp(x))
+        elif f.type == "json_object":
+            one, many = F.to_json(raw), F.lit(None).cast("array<string>")
+        else:
+            typed = F.schema_of_variant(raw)
+            fits = typed.isin("STRING") if f.type == "text" and not f.coerce else typed.isNotNull() if f.type in ("text", "bool") else typed != "BOOLEAN"
+            one, many = F.when(fits & ~typed.startswith("ARRAY") & ~typed.startswith("OBJECT"), F.try_variant_get(v, path, kind)), F.try_variant_get(v, path, f"array<{kind}>")
+            if f.type == "bytes":
+                one, many = F.unbase64(one), F.transform(many, F.unbase64)
+        got = F.when(one.isNotNull(), F.array(one)).otherwise(many)
+        bad = raw.isNotNull() & ~F.is_variant_null(raw) & got.isNull()
+        cols.append(F.when(bad, F.raise_error(F.lit(f"a value of field {f.name!r} is not {f.type}")).cast(got_type(f))).otherwise(F.filter(got, lambda x: x.isNotNull())).alias(f.name))
+    wide = base.select(*(F.col(f"`{c}`") for c in keep), *cols)
+    most = wide.agg(*(F.max(F.size(F.col(f"`{n}`"))).alias(n) for n in schema.fields)).first()
+    return wide.select(*(F.col(f"`{c}`") for c in keep), *((F.col(f"`{n}`") if (most[n] or 0) > 1 else F.get(F.col(f"`{n}`"), F.lit(0))).alias(n) for n in schema.fields))
+
+
+def got_type(f: Field) -> str:
+    return f"array<{'string' if f.type == 'json_object' else TYPES[f.type].simpleString()}>"
+
+
 def _finish(spark: SparkSession, fs: Fs, schema: Schema, path_of: dict[str, str], counts: dict, kinds: dict[str, str], docs_schema: T.StructType) -> None:
     """Dictionary, lengths and manifest of staged splits, moved to their targets; the manifest last."""
     lengths: dict[str, dict] = {s: {} for s in path_of}

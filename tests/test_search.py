@@ -223,3 +223,31 @@ def test_roaring_round_trip(spark):
     assert roaring_ids(wide) == [3 << 32 | i for i in want]
     with pytest.raises(QueryError):
         roaring_ids(b"nonsense")
+
+
+def test_json_documents(spark):
+    schema = [*SCHEMA, {"name": "flag", "type": "bool", "options": {"fast": True}}]
+    docs = ['{"id": 1, "body": "red fox", "tag": ["a", "b"], "rank": 1.5, "seen": "2024-01-01T00:00:00Z", "flag": true, "meta": {"x": {"y": 1}}, "junk": 1}', '{"id": "2", "body": null, "tag": "c", "seen": 1704067200000}', None]
+    df = index.from_json(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc", schema, FTS)
+    path = scratch(spark, "t")
+    index.build(df, path, schema, FTS, order="id")
+    ix = Index(spark, path)
+    assert ids(ix, "*") == [1, 2] and ids(ix, {"term": {"meta.x.y": 1}}) == [1] and ids(ix, {"terms": {"tag": ["b", "c"]}}) == [1, 2] and ids(ix, {"term": {"flag": True}}) == [1]
+    assert ids(ix, {"range": {"seen": {"lte": 1704067200000}}}) == [1, 2]
+    with pytest.raises(Exception, match="is not"):
+        index.from_json(spark.createDataFrame([('{"id": "x"}',)], "doc string"), "doc", schema, FTS).collect()
+
+
+def test_sql_surface(spark, ix):
+    from lakeglean.plans.sql import sql
+
+    p = ix.paths[0]
+    got = sql(spark, f"select h.doc from fts_search('{p}', :q, '{{\"fast\": [\"id\"], \"exclude_field\": \"id\"}}', array(1, 2)) h -- fts_drop('x')\n order by 1", {"q": "fox (cat)"}).collect()
+    assert [r.doc for r in got] == ['{"id":3}']
+    r = sql(spark, f"select fts_count(array('{p}'), 'fox') n, fts_count('{p}', null) z, 'fts_count(1)' s, fts_aggregate('{p}', '*', '{{\"m\": {{\"max\": {{\"field\": \"id\"}}}}}}') a").first()
+    assert (r.n, r.z, r.s, json.loads(r.a)) == (2, None, "fts_count(1)", {"m": {"value": 5}})
+    assert sql(spark, f"select count(*) n from fts_search('{p}', null)").first().n == 0
+    target = scratch(spark, "t")
+    assert sql(spark, f"select fts_merge(array('{p}'), '{target}') n").first().n == 5 and sql(spark, f"select fts_drop('{target}') a, fts_drop(null) b").first() == (True, None)
+    with pytest.raises(QueryError):
+        sql(spark, "select fts_count('x'")
