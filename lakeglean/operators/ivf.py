@@ -31,16 +31,23 @@ def nearest(df: DataFrame, query: list[float], k: int, id_col: str = "vec_id", v
             .orderBy("distance", id_col).limit(k))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a zero vector stays zero, at distance 1 from all."""
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(n == 0, 1, n)
+
+
 class _Top:
     """mapInArrow function: the best ``k`` of this partition for each query of a block."""
 
-    def __init__(self, sent, k: int, lists: bool):
-        self.sent, self.k, self.lists = sent, k, lists
+    def __init__(self, sent, k: int, lists: bool, cosine: bool):
+        self.sent, self.k, self.lists, self.cosine = sent, k, lists, cosine
 
     def __call__(self, batches):
         import pyarrow as pa
 
         ids, q, probes = self.sent.value
+        q = _unit(q) if self.cosine else q
         norms = (q * q).sum(1)
         best_d = np.full((len(ids), self.k), np.inf)
         best_i = np.full((len(ids), self.k), np.iinfo(np.int64).max)
@@ -51,7 +58,10 @@ class _Top:
             x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(own), -1)
             for at in range(0, len(own), 4096):
                 part, pid = x[at:at + 4096], own[at:at + 4096]
-                d = np.sqrt(np.maximum(norms[:, None] + (part * part).sum(1)[None] - 2 * q @ part.T, 0))
+                if self.cosine:
+                    d = np.abs(1 - q @ _unit(part).T)
+                else:
+                    d = np.sqrt(np.maximum(norms[:, None] + (part * part).sum(1)[None] - 2 * q @ part.T, 0))
                 if self.lists:
                     cluster = b.column(2).to_numpy(zero_copy_only=False)[at:at + 4096]
                     d[~(probes[:, :, None] == cluster[None, None]).any(1)] = np.inf
@@ -77,13 +87,14 @@ def _blocks(df: DataFrame, extra: list[str] = ()):
         yield rows
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", cluster_col: str | None = None, probes: DataFrame | None = None) -> DataFrame:
+def knn(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", cluster_col: str | None = None, probes: DataFrame | None = None, cosine: bool = False) -> DataFrame:
     """(query_id, vec_id, distance, rank) of the ``k`` nearest rows for every query.
 
     A stated set of queries against all rows, a block of queries at a time:
     each partition keeps its best ``k`` for each query, so only those are
     shuffled, and a window ranks them. With ``cluster_col`` and ``probes``
-    (query_id, clusters) only rows of a query's clusters count. Rows and
+    (query_id, clusters) only rows of a query's clusters count. The distance is
+    Euclidean, or one minus the cosine. Rows and
     queries with a null vector are left out; all vectors need one length.
     """
     spark = base.sparkSession
@@ -97,7 +108,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec
         ids, vs = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
         lists = np.array([r[2] for r in block], np.int64) if probes is not None else None
         sent = spark.sparkContext.broadcast((ids, vs, lists))
-        out = out.unionByName(rows.mapInArrow(_Top(sent, k, probes is not None), schema))
+        out = out.unionByName(rows.mapInArrow(_Top(sent, k, probes is not None, cosine), schema))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -23,14 +23,9 @@ def knn_exact_l2(spark, d):
     return ivf.knn(e, _queries(e), K).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-def knn_one_vector(spark, d):
-    e = table(spark, d, "embeddings")
-    return ivf.nearest(e, e.filter("vec_id = 7").first()["embedding"], K).select("vec_id", F.round("distance", 6).alias("distance"))
-
-
 def knn_cosine(spark, d):
     e = table(spark, d, "embeddings")
-    return ivf.nearest(e, e.filter("vec_id = 7").first()["embedding"], K, metric=ivf.cosine_distance).select("vec_id", F.round("distance", 6).alias("distance"))
+    return ivf.knn(e, _queries(e), K, cosine=True).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 def _label_means(e: DataFrame) -> np.ndarray:
@@ -46,11 +41,11 @@ def ivf_assign_fixed_centroids(spark, d):
 
 
 def ivf_probe_topk(spark, d):
-    """One vector over the written lists of its four nearest centroids."""
+    """The query set over the lists of each query's four nearest fixed centroids, read back from sorted files."""
     e = table(spark, d, "embeddings")
     c, path = _label_means(e), scratch(spark, "ivf")
     ivf.write_lists(ivf.assign(e, c), path)
-    return ivf.probe(spark, path, c, e.filter("vec_id = 7").first()["embedding"], K, 4).select("vec_id", F.round("distance", 6).alias("distance"))
+    return ivf.search(spark.read.parquet(path), _queries(e), c, K, 4).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
 def ivf_recall(spark, d):
@@ -85,7 +80,7 @@ def dash_hourly(spark, d):
 
 def dash_regions(spark, d):
     c, n, r = (table(spark, d, x) for x in ("customer", "nation", "region"))
-    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy("r_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
@@ -159,7 +154,7 @@ def prepared_lookup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_exact_l2, knn_one_vector, knn_cosine, ivf_assign_fixed_centroids, ivf_probe_topk, ivf_recall, ivf_search, dash_daily_distinct_users, dash_top_users, dash_hourly, dash_regions,
+    knn_exact_l2, knn_cosine, ivf_assign_fixed_centroids, ivf_probe_topk, ivf_recall, ivf_search, dash_daily_distinct_users, dash_top_users, dash_hourly, dash_regions,
     visitor_history, area_summary, orders_by_customer, id_range_sum, dim_table_keys, ntile_buckets, anti_join_new_keys, union_all_paths, approx_quantiles, exact_median, latest_version_at,
     sampled_by_hash, prepared_lookup)}
 _DIST = "sqrt(list_sum(list_transform(list_zip(b.embedding, q.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))))"
@@ -170,10 +165,9 @@ near as (select vec_id, cluster, list_sum(list_transform(list_zip(embedding, v),
 """
 SQL = {
     "knn_exact_l2": f"select q.vec_id query_id, b.vec_id, round({_DIST}, 6) distance from embeddings q cross join embeddings b where q.vec_id % 50 = 0 qualify row_number() over (partition by q.vec_id order by {_DIST}, b.vec_id) <= 10",
-    "knn_one_vector": f"select b.vec_id, round({_DIST}, 6) distance from embeddings b cross join (select * from embeddings where vec_id = 7) q order by {_DIST}, b.vec_id limit 10",
-    "knn_cosine": f"select b.vec_id, round(1.0::double - {_DOT.format('b', 'q')} / (sqrt({_DOT.format('b', 'b')}) * sqrt({_DOT.format('q', 'q')})), 6) distance from embeddings b cross join (select * from embeddings where vec_id = 7) q order by 1.0::double - {_DOT.format('b', 'q')} / (sqrt({_DOT.format('b', 'b')}) * sqrt({_DOT.format('q', 'q')})), b.vec_id limit 10",
+    "knn_cosine": f"select query_id, vec_id, abs(round(c, 6)) distance from (select q.vec_id query_id, b.vec_id, 1.0::double - {_DOT.format('b', 'q')} / (sqrt({_DOT.format('b', 'b')}) * sqrt({_DOT.format('q', 'q')})) c from embeddings q cross join embeddings b where q.vec_id % 50 = 0) qualify row_number() over (partition by query_id order by c, vec_id) <= 10",
     "ivf_assign_fixed_centroids": _MEANS + "select vec_id, cluster from near qualify row_number() over (partition by vec_id order by d2, cluster) = 1",
-    "ivf_probe_topk": _MEANS + f", own as (select vec_id, cluster from near qualify row_number() over (partition by vec_id order by d2, cluster) = 1), p as (select cluster from near where vec_id = 7 order by d2, cluster limit 4) select b.vec_id, round({_DIST}, 6) distance from embeddings b join own on own.vec_id = b.vec_id cross join (select * from embeddings where vec_id = 7) q where own.cluster in (select cluster from p) order by {_DIST}, b.vec_id limit 10",
+    "ivf_probe_topk": _MEANS + f", own as (select vec_id, cluster from near qualify row_number() over (partition by vec_id order by d2, cluster) = 1), p as (select vec_id query_id, cluster from near where vec_id % 50 = 0 qualify row_number() over (partition by vec_id order by d2, cluster) <= 4) select query_id, b.vec_id, round({_DIST}, 6) distance from p join own on own.cluster = p.cluster join embeddings b on b.vec_id = own.vec_id join embeddings q on q.vec_id = query_id qualify row_number() over (partition by query_id order by {_DIST}, b.vec_id) <= 10",
     "ivf_recall": "select true as enough, 10 * count(*) as n from embeddings where vec_id % 50 = 0",
     "dash_daily_distinct_users": "select cast(ts as date) as day, count(distinct user_id) users, count(*) n from events group by 1",
     "dash_top_users": "select user_id, count(*) as views from events where event_type = 'view' group by 1 order by 2 desc, 1 limit 10",

@@ -90,7 +90,7 @@ def fts_doc_lengths(spark, d):
 
 def fts_build_counts_by_group(spark, d):
     root = scratch(spark, "index-groups")
-    df = table(spark, d, "documents").filter("lang in ('en', 'fr', 'de', 'es')").withColumn("at", F.concat(F.lit(f"{root}/"), "lang"))
+    df = table(spark, d, "documents").withColumn("at", F.concat(F.lit(f"{root}/"), F.coalesce("lang", F.lit("none"))))
     return index.build(df, None, DOCUMENTS, path_col="at", order="doc_id").select(F.regexp_extract("path", "([^/]+)$", 1).alias("lang"), "docs")
 
 
@@ -305,7 +305,7 @@ SQL = {
     "fts_token_stats": _S + "select cast(sum(tf) as bigint) n_tokens, count(distinct term) n_terms, count(distinct doc_id) n_docs from p",
     "fts_doc_freq": _S + "select term, count(*) df, cast(sum(tf) as bigint) cf from p group by 1",
     "fts_doc_lengths": _S + "select doc_id, len(ws) n_tokens from d where len(ws) > 0",
-    "fts_build_counts_by_group": "select lang, count(*) docs from documents where lang in ('en', 'fr', 'de', 'es') group by 1",
+    "fts_build_counts_by_group": "select coalesce(lang, 'none') lang, count(*) docs from documents group by 1",
     "fts_count": _S + f"select count(*) n from d where {_has('canary')} or {_has('footer')}",
     "fts_count_limit": _S + f"select least(count(*), 100) n from d where {_has('the')}",
     "fts_count_distinct": _S + f"select count(distinct source) n from d where {_has('the')}",
