@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,20 +124,23 @@ def range_bounds(p: dict) -> list[tuple[str, float | None, float | None]]:
     return [(key or f"{show(a)}-{show(b)}", a, b) for a, b, key in full]
 
 
-def bucket_frame(df: DataFrame, kind: str, p: dict, sub: dict | None = None) -> DataFrame:
-    """(key, doc_count, metrics...) of one bucket aggregation, ordered as it is reported."""
+def _keyed(df: DataFrame, kind: str, p: dict, name: str = "_key") -> DataFrame:
+    """Rows with the key of the bucket they fall into; rows without one are left out, rows of several come several times."""
     df, key = bucket_key(df, kind, p)
-    if kind == "range":
-        parts = None
-        for name, a, b in range_bounds(p):
-            c = F.lit(True)
-            c = c & (key >= a) if a is not None else c
-            c = c & (key < b) if b is not None else c
-            label = F.when(c & key.isNotNull(), F.lit(name))
-            parts = [label] if parts is None else [*parts, label]
-        df = df.withColumn("_key", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())))
-    else:
-        df = df.withColumn("_key", key).filter(F.col("_key").isNotNull())
+    if kind != "range":
+        return df.withColumn(name, key).filter(F.col(name).isNotNull())
+    labels = []
+    for label, a, b in range_bounds(p):
+        c = key.isNotNull()
+        c = c & (key >= a) if a is not None else c
+        c = c & (key < b) if b is not None else c
+        labels.append(F.when(c, F.lit(label)))
+    return df.withColumn(name, F.explode(F.filter(F.array(*labels), lambda x: x.isNotNull())))
+
+
+def bucket_frame(df: DataFrame, kind: str, p: dict, sub: dict | None = None) -> DataFrame:
+    """(_key, doc_count, metrics...) of one bucket aggregation, ordered as it is reported."""
+    df = _keyed(df, kind, p)
     out = df.groupBy("_key").agg(F.count(F.lit(1)).alias("doc_count"), *(c.alias(n) for n, c in metric_columns(df, sub or {}).items()))
     if kind == "terms":
         return out.orderBy(F.desc("doc_count"), F.asc("_key")).limit(int(p.get("size", 10)))
@@ -145,53 +148,60 @@ def bucket_frame(df: DataFrame, kind: str, p: dict, sub: dict | None = None) ->
 
 
 def aggregate(df: DataFrame, aggs, fields: dict | None = None) -> dict:
-    """The result object. One grouped job for each level of buckets; reported buckets are bounded."""
-    return _run(df, parse(aggs))
+    """The result object. Each aggregation of each level is one grouped job over all outer buckets at once."""
+    aggs = parse(aggs)
+    return _level(df, aggs, []).get((), _empty(aggs))
 
 
-def _run(df: DataFrame, aggs: dict) -> dict:
-    out = {}
+def _empty(aggs: dict) -> dict:
+    return {n: {"buckets": []} if k in BUCKETS else {"value": None} for n, (k, _, _) in aggs.items()}
+
+
+def _level(df: DataFrame, aggs: dict, outer: list[str]) -> dict[tuple, dict]:
+    """Results by the values of the ``outer`` key columns."""
+    out: dict[tuple, dict] = {}
     metrics = metric_columns(df, aggs)
-    if metrics:
-        out |= _metrics_of(df.agg(*(c.alias(n) for n, c in metrics.items())).first().asDict(), aggs)
+    if metrics and not outer:  # inner metrics come with the counts of their buckets
+        out[()] = _metrics_of(df.agg(*(c.alias(n) for n, c in metrics.items())).first().asDict(), aggs)
     for name, (kind, p, sub) in aggs.items():
         if kind not in BUCKETS:
             continue
-        rows = bucket_frame(df, kind, p, sub).collect()
-        if len(rows) > MAX_BUCKETS:
-            raise QueryError(f"aggregations: {name} makes too many buckets")
-        found = {r["_key"]: r.asDict() for r in rows}
-        if kind == "range":
-            listed = [(k, {"_key": k, "doc_count": 0} | found.get(k, {}), {"from": a, "to": b}) for k, a, b in range_bounds(p)]
-        else:
-            listed = [(k, r, {}) for k, r in found.items()]
-        nested = {n: s for n, s in sub.items() if s[0] in BUCKETS}
-        parts = _nested(df, kind, p, [k for k, *_ in listed], nested) if nested else {}
-        buckets = []
-        for k, r, extra in listed:
-            b = {"key": str(k) if isinstance(k, bool) else k, "doc_count": r["doc_count"]} | {x: v for x, v in extra.items() if v is not None}
-            if r["doc_count"]:
-                b |= _metrics_of(r, sub)
-            buckets.append(b | parts.get(k, {}))
-        res: dict = {"buckets": buckets}
+        key = f"_key{len(outer)}"
+        rows = _keyed(df, kind, p, key)
+        counts = rows.groupBy(*outer, key).agg(F.count(F.lit(1)).alias("doc_count"), *(c.alias(n) for n, c in metric_columns(rows, sub).items()))
         if kind == "terms":
-            d, c = bucket_key(df, kind, p)
-            total = d.filter(c.isNotNull()).count()
-            res |= {"sum_other_doc_count": total - sum(b["doc_count"] for b in buckets), "doc_count_error_upper_bound": 0}
-        out[name] = res
-    return out
-
-
-def _nested(df: DataFrame, kind: str, p: dict, keys: list, subs: dict) -> dict:
-    """Bucket aggregations below each reported bucket."""
-    out: dict = {}
-    for k in keys:
-        d, c = bucket_key(df, kind, p)
-        if kind == "range":
-            a, b = next((a, b) for n, a, b in range_bounds(p) if n == k)
-            d = d.filter(c >= a) if a is not None else d
-            d = d.filter(c < b) if b is not None else d
+            w = Window.partitionBy(*outer) if outer else Window.partitionBy(F.lit(0))
+            ranked = w.orderBy(F.desc("doc_count"), F.asc(key))
+            size = int(p.get("size", 10))
+            if outer:
+                counts = counts.withColumn("_all", F.sum("doc_count").over(w)).withColumn("_n", F.row_number().over(ranked)).filter(F.col("_n") <= size)
+                counts = counts.orderBy(*outer, "_n")
+            else:
+                total = counts.agg(F.sum("doc_count")).first()[0] or 0
+                counts = counts.orderBy(F.desc("doc_count"), F.asc(key)).limit(size).withColumn("_all", F.lit(total))
         else:
-            d = d.filter(c == k)
-        out[k] = _run(d, subs)
+            counts = counts.orderBy(*outer, key)
+        found = [r.asDict() for r in counts.limit(MAX_BUCKETS + 1).collect()]
+        if len(found) > MAX_BUCKETS:
+            raise QueryError(f"aggregations: {name} makes too many buckets")
+        inner: dict[tuple, dict] = {}
+        if any(k in BUCKETS for k, _, _ in sub.values()) and found:
+            keep = [*outer, key]
+            listed = counts.select(*keep)  # at most MAX_BUCKETS rows, checked above
+            inner = _level(rows.join(F.broadcast(listed), keep, "left_semi") if kind == "terms" else rows, sub, keep)
+        groups: dict[tuple, list] = {}
+        for r in found:
+            groups.setdefault(tuple(r[c] for c in outer), []).append(r)
+        for at in groups or ({(): []} if not outer else {}):
+            listed = {r[key]: r for r in groups.get(at, [])}
+            if kind == "range":
+                shown = [(k, {"doc_count": 0} | listed.get(k, {}), {x: v for x, v in (("from", a), ("to", b)) if v is not None}) for k, a, b in range_bounds(p)]
+            else:
+                shown = [(k, r, {}) for k, r in listed.items()]
+            buckets = [{"key": str(k).lower() if isinstance(k, bool) else k, "doc_count": r["doc_count"]} | extra | (_metrics_of(r, sub) if r["doc_count"] else {}) | inner.get((*at, k), {}) for k, r, extra in shown]
+            res: dict = {"buckets": buckets}
+            if kind == "terms":
+                every = groups[at][0]["_all"] if groups.get(at) else 0
+                res |= {"sum_other_doc_count": every - sum(b["doc_count"] for b in buckets), "doc_count_error_upper_bound": 0}
+            out.setdefault(at, {})[name] = res
     return out

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lakeglean.sources.fs import Fs
 
+CHECKPOINT_EVERY = 50
 POSITION = "__pos"
 FILE = "__file"
 CHANGE = "_change"
@@ -65,6 +66,9 @@ class ManifestTable:
         """The newest version; 0 is the empty table before any commit."""
         return max(self.versions(), default=0)
 
+    def _saved(self) -> list[int]:
+        return [int(n[:20]) for n in self.fs.names("_log") if re.fullmatch(r"\d{20}\.checkpoint", n)]
+
     def manifest(self, version: int) -> dict:
         return json.loads(self.fs.read_many([f"_log/{version:020d}.json"])[0])
 
@@ -74,8 +78,13 @@ class ManifestTable:
         known = self.versions()
         if version and version not in known:
             raise ValueError(f"version {version} does not exist")
-        s = Snapshot(version)
-        wanted = [v for v in known if v <= version]
+        s, start = Snapshot(version), 0
+        saved = [v for v in self._saved() if v <= version and (since is None or v <= since)]
+        if saved:
+            start = saved[-1]
+            c = json.loads(self.fs.read_many([f"_log/{start:020d}.checkpoint"])[0])
+            s.schema, s.files, s.vectors, s.txn = c["schema"], c["files"], c["vectors"], c["txn"]
+        wanted = [v for v in known if start < v <= version]
         for v, text in zip(wanted, self.fs.read_many([f"_log/{v:020d}.json" for v in wanted])):
             m = json.loads(text)
             s.schema = m.get("schema") or s.schema
@@ -116,6 +125,9 @@ class ManifestTable:
         self.fs.mkdirs("_log")
         if not self.fs.put_if_absent(f"_log/{base + 1:020d}.json", json.dumps(m)):
             raise CommitConflict(f"version {base + 1} was published by another writer")
+        if (base + 1) % CHECKPOINT_EVERY == 0:  # readers then replay at most so many manifests
+            s = self.snapshot(base + 1)
+            self.fs.put_if_absent(f"_log/{base + 1:020d}.checkpoint", json.dumps({"schema": s.schema, "files": s.files, "vectors": s.vectors, "txn": s.txn}))
         return base + 1
 
     # -- reading -----------------------------------------------------------

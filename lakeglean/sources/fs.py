@@ -81,6 +81,22 @@ class Fs:
         finally:
             out.close()
 
+    def create(self, rel: str):
+        """A new file open for writing; it must not exist."""
+        if self.local:
+            os.makedirs(os.path.dirname(self._os(rel)), exist_ok=True)
+            return open(self._os(rel), "xb")
+        out = self._fs.create(self.path(rel), False)
+
+        class Stream:
+            @staticmethod
+            def write(data: bytes) -> None:
+                out.write(bytearray(data))
+
+            close = staticmethod(out.close)
+
+        return Stream
+
     def put_if_absent(self, rel: str, text: str) -> bool:
         """Create ``rel`` with this content, whole or not at all; False if it is there.
 

@@ -79,11 +79,11 @@ class LakeTable:
         last = self.version() if last is None else last
         if first <= self.horizon() and self.horizon():
             raise VersionExpired(f"version {first} has expired")
-        schema, out = None, None
-        for v in self.log.versions():
+        out, schema = None, self.log.snapshot(first - 1).schema if first > 1 else None
+        for v in (v for v in self.log.versions() if first <= v <= last):
             m = self.log.manifest(v)
             schema = m.get("schema") or schema
-            if not first <= v <= last or not m.get("data_change", True):
+            if not m.get("data_change", True):
                 continue
             update, parts = m.get("op") == "update", []
             if m.get("add"):
@@ -142,8 +142,13 @@ class LakeTable:
         return self._append(df, meta, 0, "create")
 
     def insert(self, df: DataFrame) -> int:
+        """Append rows, matched by column name and cast to the table's types; a column too many is an error, one too few is null."""
         base = self.version()
-        return self._append(df, self._meta(base), base, "insert")
+        want = [f for f in self.log._schema(self.log.snapshot(base)).fields if f.name not in (ROWID, SNAPSHOT)]
+        if extra := [c for c in df.columns if c not in {f.name for f in want}]:
+            raise ValueError(f"the table has no column {extra[0]!r}")
+        own = df.select(*((F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want))
+        return self._append(own, self._meta(base), base, "insert")
 
     def _append(self, df: DataFrame, meta: dict, base: int, op: str) -> int:
         self._check(df, meta)

@@ -251,3 +251,12 @@ def test_sql_surface(spark, ix):
     assert sql(spark, f"select fts_merge(array('{p}'), '{target}') n").first().n == 5 and sql(spark, f"select fts_drop('{target}') a, fts_drop(null) b").first() == (True, None)
     with pytest.raises(QueryError):
         sql(spark, "select fts_count('x'")
+
+
+def test_nested_aggregations(ix):
+    r = json.loads(ix.aggregate("*", {"t": {"terms": {"field": "tag", "size": 2}, "aggs": {"h": {"histogram": {"field": "rank", "interval": 1}, "aggs": {"n": {"value_count": {"field": "id"}}}}, "k": {"terms": {"field": "id", "size": 1}}}}}))
+    assert r["t"]["sum_other_doc_count"] == 2
+    alpha, beta = r["t"]["buckets"]
+    assert alpha["h"]["buckets"] == [{"key": 2.0, "doc_count": 1, "n": {"value": 1}}] and beta["h"]["buckets"] == [{"key": 1.0, "doc_count": 1, "n": {"value": 1}}]
+    assert alpha["k"] == {"buckets": [{"key": 1, "doc_count": 1}], "sum_other_doc_count": 1, "doc_count_error_upper_bound": 0}
+    assert json.loads(ix.aggregate("nothing", {"t": {"terms": {"field": "tag"}}})) == {"t": {"buckets": [], "sum_other_doc_count": 0, "doc_count_error_upper_bound": 0}}

@@ -187,3 +187,17 @@ def test_vectors(spark):
     idx = ivf.assign(df, c)
     assert idx.count() == 60 and ivf.recall(ivf.search(idx, df.filter("vec_id % 20 = 0"), c, 5, 6), got).first()["recall"] == 1.0
     assert ivf.knn(df.limit(0), df, 3).count() == 0 and ivf.knn(df, df.limit(0), 3).count() == 0
+
+
+def test_manifest_checkpoints(spark, monkeypatch):
+    from lakeglean.operators import incremental
+
+    monkeypatch.setattr(incremental, "CHECKPOINT_EVERY", 3)
+    t = LakeTable(spark, scratch(spark, "t"))
+    t.create(spark.createDataFrame([(0, 0)], "k int, v int"))
+    for i in range(1, 5):
+        t.insert(spark.createDataFrame([(i,)], "k int"))
+    assert t.log._saved() == [3] and sorted(r.k for r in t.at().collect()) == list(range(5)) and t.at(2).count() == 2 and t.at(4).count() == 4
+    assert t.log.diff(4).count() == 1 and t.log.diff(1, 5).count() == 4 and t.changes(5).count() == 1
+    with pytest.raises(ValueError):
+        t.insert(spark.createDataFrame([(1, 2)], "k int, zz int"))
