@@ -296,10 +296,10 @@ class Split:
     def has(self, part: str) -> bool:
         return part in self.meta["parts"]
 
-    def read(self, part: str) -> DataFrame:
-        """One table of the split; its schema is known, so no footer is read to plan."""
+    def read(self, part: str, folders: list[str] | None = None) -> DataFrame:
+        """One table of the split, or of several alike; the schema is known, so no footer is read to plan."""
         schema = {"docs": None, "postings": POSTINGS, "terms": TERMS}[part] or T.StructType.fromJson(self.meta["docs_schema"])
-        return self.spark.read.schema(schema).parquet(self.folder(part))
+        return self.spark.read.schema(schema).parquet(*(folders or [self.folder(part)]))
 
 
 def drop(spark: SparkSession, path: str | None) -> bool | None:

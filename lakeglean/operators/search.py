@@ -26,6 +26,8 @@ from lakeglean.session import ship
 K1, B = 1.2, 0.75
 #: A page of at most this many hits is broadcast to fetch its documents.
 BROADCAST_PAGE = 10_000
+#: More splits than this are read by one scan instead of a union of scans.
+UNION_SPLITS = 8
 
 OPTIONS = {"top_k", "offset", "sort", "collapse", "highlight", "fields", "conjunctive", "strict", "fast", "exclude_field", "global_stats", "ignore_unmapped", "limit", "distinct"}
 _REFUSED = {"search": {"limit", "distinct"}, "count": {"offset", "collapse", "sort", "highlight"}, "aggregate": {"offset", "collapse", "sort", "highlight", "limit", "distinct"}}
@@ -151,9 +153,14 @@ class Index:
     def _read(self, part: str, splits=None) -> DataFrame | None:
         """All splits' rows of one table with ``_split``, their place in the list."""
         out = None
-        for i, s in enumerate(self.splits):
-            if splits is not None and i not in splits or not s.has(part):
-                continue
+        own = [(i, s) for i, s in enumerate(self.splits) if (splits is None or i in splits) and s.has(part)]
+        if len(own) > UNION_SPLITS and len({json.dumps(s.meta["docs_schema"]) for _, s in own}) == 1:
+            # one scan of all folders; the place in the list comes by the split's id in the file's path
+            df = own[0][1].read(part, [s.folder(part) for _, s in own])
+            places = self.spark.createDataFrame([(s.sid, i) for i, s in own], "_sid string, _split int")
+            sid = F.regexp_extract(F.col("_metadata.file_path"), f"([0-9a-f]{{32}})-{part}/", 1)
+            return df.withColumn("_sid", sid).join(F.broadcast(places), "_sid").drop("_sid")
+        for i, s in own:
             df = s.read(part).withColumn("_split", F.lit(i))
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
@@ -461,7 +468,7 @@ class _Evaluation:
         own = {i: value(i) for i in self.members}
         if len(set(own.values())) == 1:
             return F.lit(float(next(iter(own.values()))))
-        return F.create_map(*(x for i, v in own.items() for x in (F.lit(i), F.lit(float(v)))))[F.col("_split")]
+        return F.element_at(F.array(*(F.lit(float(own.get(i, 0.0))) for i in range(len(self.ix.splits)))), F.col("_split") + 1)
 
     def _idf(self, field: str, path: str, term: str) -> Column:
         def idf(i: int) -> float:

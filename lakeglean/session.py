@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -22,12 +22,15 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="lakeglean-"), "lakeglean_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    from lakeglean.sources.fs import Fs
+
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(path)
+    folder, name = scratch(spark, "package"), "lakeglean_package.zip"
+    Fs(spark, folder).write_bytes(name, packed.getvalue())
+    sc.addPyFile(f"{folder}/{name}")
     _SHIPPED.add(sc.applicationId)
 
 
@@ -56,8 +59,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/lakeglean-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what :func:`scratch` named in this application; DataFrames still to be read from there are lost."""
+    from lakeglean.sources.fs import Fs
+
+    Fs(spark, shared_dir(spark)).delete(f"lakeglean-{spark.sparkContext.applicationId}")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -13,7 +13,10 @@ def spark():
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    return s
+    yield s
+    from lakeglean.session import clean
+
+    clean(s)
 
 
 @pytest.fixture

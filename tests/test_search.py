@@ -260,3 +260,13 @@ def test_nested_aggregations(ix):
     assert alpha["h"]["buckets"] == [{"key": 2.0, "doc_count": 1, "n": {"value": 1}}] and beta["h"]["buckets"] == [{"key": 1.0, "doc_count": 1, "n": {"value": 1}}]
     assert alpha["k"] == {"buckets": [{"key": 1, "doc_count": 1}], "sum_other_doc_count": 1, "doc_count_error_upper_bound": 0}
     assert json.loads(ix.aggregate("nothing", {"t": {"terms": {"field": "tag"}}})) == {"t": {"buckets": [], "sum_other_doc_count": 0, "doc_count_error_upper_bound": 0}}
+
+
+def test_many_splits_rank_as_one_scan(spark):
+    root = scratch(spark, "t")
+    df = spark.createDataFrame([(f"{root}/{i % 12:02d}", i, f"fox {'dog ' * (i % 5)}") for i in range(48)], "at string, id int, body string")
+    index.build(df, None, SCHEMA[:2], FTS, path_col="at", order="id")
+    many = Index(spark, [f"{root}/{i:02d}" for i in range(12)])
+    parts = [(round(r.score, 9), i, json.loads(r.doc)["id"]) for i in range(12) for r in Index(spark, f"{root}/{i:02d}").search("dog", {"fast": ["id"]}).collect()]
+    assert [json.loads(r.doc)["id"] for r in many.search("dog", {"fast": ["id"]}).collect()] == [d for _, _, d in sorted(parts, key=lambda x: (-x[0], x[1], x[2]))]
+    assert many.count("fox") == 48 and len(ids(many, "fox", global_stats=True, top_k=7)) == 7
