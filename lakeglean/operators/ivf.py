@@ -122,7 +122,10 @@ def train(df: DataFrame, clusters: int, sample: int = 50_000, iterations: int =
     rows = df.filter(F.col(vec_col).isNotNull()).select(vec_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()
     if not rows:
         raise ValueError("no vectors to train on")
-    x = np.array([r[0] for r in rows], np.float64)
+    return _means(np.array([r[0] for r in rows], np.float64), clusters, iterations)
+
+
+def _means(x: np.ndarray, clusters: int, iterations: int = 8) -> np.ndarray:
     c = x[: min(clusters, len(x))].copy()
     for _ in range(iterations):
         near = _closest(x, c)
@@ -169,6 +172,60 @@ def assign(df: DataFrame, centroids: np.ndarray, n: int = 1, id_col: str = "vec_
     return own.mapInArrow(_Assign(sent, n), "vec_id long, embedding array<float>, clusters array<long>")
 
 
+class TwoLevel:
+    """Coarse centroids, each with its own fine ones: a row meets coarse + fine of them instead of coarse * fine."""
+
+    def __init__(self, coarse: np.ndarray, fine: list[np.ndarray]):
+        self.coarse, self.fine, self.width = coarse, fine, max(len(f) for f in fine)
+
+    def nearest(self, x: np.ndarray, probes: int = 1, inner: int = 1) -> np.ndarray:
+        """(rows, probes * inner) list ids of the nearest fine lists within the nearest coarse ones; -1 where there are fewer."""
+        probes = min(probes, len(self.coarse))
+        near = _closest(x, self.coarse, probes).reshape(len(x), -1)
+        out = np.full((len(x), probes * inner), -1, np.int64)
+        for k in range(probes):
+            for j in np.unique(near[:, k]):
+                at, n = np.flatnonzero(near[:, k] == j), min(inner, len(self.fine[j]))
+                out[at, k * inner:k * inner + n] = j * self.width + _closest(x[at], self.fine[j], n).reshape(len(at), -1)
+        return out
+
+
+def train_two_level(df: DataFrame, coarse: int, fine: int, sample: int = 50_000, id_col: str = "vec_id", vec_col: str = "embedding") -> TwoLevel:
+    """k-means of the sample, then of each coarse list's part of it; an empty list keeps its coarse centroid."""
+    top = train(df, coarse, sample, id_col=id_col, vec_col=vec_col)
+    rows = df.filter(F.col(vec_col).isNotNull()).select(vec_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).collect()
+    x = np.array([r[0] for r in rows], np.float64)
+    near, parts = _closest(x, top), []
+    for j in range(len(top)):
+        own = x[near == j]
+        parts.append(_means(own, fine) if len(own) else top[j:j + 1])
+    return TwoLevel(top, parts)
+
+
+class _AssignTwo:
+    def __init__(self, sent, probes: int, inner: int):
+        self.sent, self.probes, self.inner = sent, probes, inner
+
+    def __call__(self, batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1)
+            lists = self.sent.value.nearest(x, self.probes, self.inner)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists.tolist(), pa.list_(pa.int64()))], ["vec_id", "embedding", "clusters"])
+
+
+def assign_two_level(df: DataFrame, levels: TwoLevel, probes: int = 1, inner: int = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(vec_id, embedding, clusters): with one probe the list a row belongs to, with more those a query should look into."""
+    spark = df.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(levels)
+    own = df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))
+    return own.mapInArrow(_AssignTwo(sent, probes, inner), "vec_id long, embedding array<float>, clusters array<long>")
+
+
 def write_lists(assigned: DataFrame, path: str) -> None:
     """The index as Parquet sorted by cluster with small row groups, so that literal cluster ids prune the scan."""
     assigned.repartitionByRange("cluster").sortWithinPartitions("cluster", "vec_id").write.option("parquet.block.size", 1 << 20).parquet(path)

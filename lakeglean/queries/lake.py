@@ -34,7 +34,7 @@ def lake_time_travel_count(spark, d):
 
 
 def lake_after_delete(spark, d):
-    return _orders(spark, d).at()
+    return _orders(spark, d).at().select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
 def lake_change_feed(spark, d):
@@ -148,7 +148,7 @@ SQL = {
     "lake_time_travel_count": f"""select 1 as version, count(*) n, round(sum(o_totalprice), 2) total from orders where o_orderkey % 3 <> 0
         union all select 2, count(*), round(sum(o_totalprice), 2) from orders union all select 3, count(*), round(sum({_PRICE}), 2) from orders
         union all select 4, count(*), round(sum({_PRICE}), 2) from orders where o_orderkey % 7 <> 0""",
-    "lake_after_delete": f"select * replace ({_PRICE} as o_totalprice) from orders where o_orderkey % 7 <> 0",
+    "lake_after_delete": f"select o_orderkey, o_custkey, o_orderstatus, {_PRICE} o_totalprice from orders where o_orderkey % 7 <> 0",
     "lake_change_feed": f"""with e as (select 'insert' change_type, o_totalprice p, o_orderkey k from orders where o_orderkey % 3 = 0
         union all select 'update_preimage', o_totalprice, o_orderkey from orders where o_orderkey % 10 = 1 union all select 'update_postimage', o_totalprice * 2, o_orderkey from orders where o_orderkey % 10 = 1
         union all select 'delete', {_PRICE}, o_orderkey from orders where o_orderkey % 7 = 0) select change_type, count(*) n, round(sum(p), 2) total, cast(sum(k) as bigint) as keys from e group by 1""",

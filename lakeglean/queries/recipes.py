@@ -65,7 +65,7 @@ def ivf_search(spark, d):
 
 # -- dashboards and lookups -----------------------------------------------------
 def dash_daily_distinct_users(spark, d):
-    return table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))
 
 
 def dash_top_users(spark, d):
@@ -85,7 +85,7 @@ def dash_regions(spark, d):
 
 
 def visitor_history(spark, d):
-    return table(spark, d, "events").filter("user_id = 17").orderBy("ts", "event_id").limit(100).select("event_id", "ts", "event_type")
+    return table(spark, d, "events").filter("user_id = 17").orderBy("ts", "event_id").limit(100).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_type")
 
 
 def area_summary(spark, d):
@@ -169,11 +169,11 @@ SQL = {
     "ivf_assign_fixed_centroids": _MEANS + "select vec_id, cluster from near qualify row_number() over (partition by vec_id order by d2, cluster) = 1",
     "ivf_probe_topk": _MEANS + f", own as (select vec_id, cluster from near qualify row_number() over (partition by vec_id order by d2, cluster) = 1), p as (select vec_id query_id, cluster from near where vec_id % 50 = 0 qualify row_number() over (partition by vec_id order by d2, cluster) <= 4) select query_id, b.vec_id, round({_DIST}, 6) distance from p join own on own.cluster = p.cluster join embeddings b on b.vec_id = own.vec_id join embeddings q on q.vec_id = query_id qualify row_number() over (partition by query_id order by {_DIST}, b.vec_id) <= 10",
     "ivf_recall": "select true as enough, 10 * count(*) as n from embeddings where vec_id % 50 = 0",
-    "dash_daily_distinct_users": "select cast(ts as date) as day, count(distinct user_id) users, count(*) n from events group by 1",
+    "dash_daily_distinct_users": "select strftime(ts, '%Y-%m-%d') as day, count(distinct user_id) users, count(*) n from events group by 1",
     "dash_top_users": "select user_id, count(*) as views from events where event_type = 'view' group by 1 order by 2 desc, 1 limit 10",
     "dash_hourly": "select cast(extract(hour from ts) as int) as hour, count(*) n, round(avg(value), 6) as mean from events where ts >= '2024-01-08' and ts < '2024-01-15' group by 1",
     "dash_regions": "select r_name, count(*) customers, round(sum(c_acctbal), 2) balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1",
-    "visitor_history": "select event_id, ts, event_type from events where user_id = 17 order by ts, event_id limit 100",
+    "visitor_history": "select event_id, epoch_us(ts) ts_us, event_type from events where user_id = 17 order by ts, event_id limit 100",
     "area_summary": "select l_returnflag, count(*) n, round(sum(l_extendedprice), 2) price from lineitem where l_quantity between 10 and 20 and l_discount between 0.02::double and 0.05::double group by 1",
     "orders_by_customer": "select c_custkey, c_name, count(*) orders, round(sum(o_totalprice), 2) total from orders join customer on o_custkey = c_custkey group by 1, 2",
     "id_range_sum": "select count(*) n, round(sum(l_extendedprice), 2) total from lineitem where l_orderkey between 1000 and 1999",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakeglean.queries import lake, recipes, search, training
+from lakeglean.queries import functions, lake, recipes, search, training
 
-MODULES = [training, search, lake, recipes]
+MODULES = [training, search, lake, recipes, functions]
 FLAGSHIP = "fts_top10_bm25"
 
 

@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_orphans_by_period(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).groupBy("src", "month").agg(F.sum("n_refs").cast("long").alias("n_refs"), F.countDistinct("file_id").alias("n_files"))
+    return _orphans(spark, d).groupBy("src", F.date_format("month", "yyyy-MM").alias("month")).agg(F.sum("n_refs").cast("long").alias("n_refs"), F.countDistinct("file_id").alias("n_files"))
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ SQL = {
     "p2_found": "select file_id from chunks where file_id is not null group by 1 having count(*) >= 0.02 * (select count(*) from chunks)",
     "p2_profile": "select file_id, count(*) n_rows, count(distinct no) n_chunks, cast(min(no) as bigint) min_no, cast(max(no) as bigint) max_no, cast(case when max(no) >= 0 then max(no) + 1 - count(distinct case when no >= 0 then no end) else 0 end as bigint) n_gaps from chunks group by 1",
     "p3_found": _REFS + "select distinct src, file_id from refs",
-    "p3_orphans_by_period": _REFS + "select src, month, count(*) n_refs, count(distinct file_id) n_files from refs group by 1, 2",
+    "p3_orphans_by_period": _REFS + "select src, strftime(month, '%Y-%m') as month, count(*) n_refs, count(distinct file_id) n_files from refs group by 1, 2",
     "p4_found": _SMALL + "select distinct file_id from busy",
     "p4_plan_by_volume": _SMALL + "select volume, count(*) n_files, cast(sum(size) as bigint) n_bytes, count(distinct dir) n_dirs from busy group by 1",
     "p4_compacted_refs": "select db_id, count(*) n_rows, cast(sum(file_id) as bigint) sum_ids from dbfileids group by 1",

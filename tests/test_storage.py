@@ -201,3 +201,28 @@ def test_manifest_checkpoints(spark, monkeypatch):
     assert t.log.diff(4).count() == 1 and t.log.diff(1, 5).count() == 4 and t.changes(5).count() == 1
     with pytest.raises(ValueError):
         t.insert(spark.createDataFrame([(1, 2)], "k int, zz int"))
+
+
+def test_two_level_lists(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3)).astype("float32")
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    levels = ivf.train_two_level(df, 4, 3)
+    idx = ivf.assign_two_level(df, levels).select("vec_id", "embedding", F.get("clusters", F.lit(0)).alias("cluster"))
+    q = df.filter("vec_id % 20 = 0")
+    near = ivf.assign_two_level(q, levels, probes=4, inner=3).select(F.col("vec_id").alias("query_id"), "clusters")
+    found = ivf.knn(idx, q, 5, cluster_col="cluster", probes=near)
+    assert idx.filter("cluster < 0").count() == 0 and ivf.recall(found, ivf.knn(df, q, 5)).first()["recall"] == 1.0  # all lists probed
+
+
+def test_curves(spark):
+    from lakeglean.functions.curves import hilbert_index, scaled, zorder_key
+
+    side = np.arange(16)
+    xs, ys = np.repeat(side, 16), np.tile(side, 16)
+    d = hilbert_index(xs, ys, 4)
+    assert sorted(d) == list(range(256))
+    walk = np.argsort(d)
+    assert (np.abs(np.diff(xs[walk])) + np.abs(np.diff(ys[walk])) == 1).all()  # neighbours along the curve are neighbours
+    r = spark.createDataFrame([(3, 1), (0, 2)], "x int, y int").select(zorder_key(F.col("x"), F.col("y")).alias("k"), scaled(F.col("x"), 0, 2).alias("s")).collect()
+    assert [tuple(v) for v in r] == [(0b0111, 65535), (0b1000, 0)]
