@@ -49,7 +49,7 @@ class Snapshot:
 
 def _name(col):
     """Data file below the table's root from ``_metadata.file_path``: its last two parts."""
-    return F.regexp_extract(col, r"([^/]+/[^/]+)$", 1)
+    return F.substring_index(col, "/", -2)
 
 
 class ManifestTable:
