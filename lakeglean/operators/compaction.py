@@ -41,7 +41,7 @@ def multiset_checksum(df: DataFrame) -> tuple:
 
 def directory(path: Column) -> Column:
     """The path up to and with its last '/', or '' for none."""
-    return F.regexp_replace(path, "[^/]*$", "")
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
 
 
 def present_versions(files: DataFrame, garbage: DataFrame) -> DataFrame:
