@@ -158,7 +158,7 @@ class Index:
             # one scan of all folders; the place in the list comes by the split's id in the file's path
             df = own[0][1].read(part, [s.folder(part) for _, s in own])
             places = self.spark.createDataFrame([(s.sid, i) for i, s in own], "_sid string, _split int")
-            sid = F.regexp_extract(F.col("_metadata.file_path"), f"([0-9a-f]{{32}})-{part}/", 1)
+            sid = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "-", 1)
             return df.withColumn("_sid", sid).join(F.broadcast(places), "_sid").drop("_sid")
         for i, s in own:
             df = s.read(part).withColumn("_split", F.lit(i))
