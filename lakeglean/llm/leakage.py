@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,17 +54,67 @@ def passage(text: str | None) -> str:
     return max((text or "").splitlines() or [""], key=len)
 
 
-def _runs(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
-    """Edits along an alignment of ``a`` and ``b``: for each word of ``a`` and each gap, (index in a, index in b or -1, cost)."""
-    steps = []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            steps += [(i, j1 + i - i1, 0) for i in range(i1, i2)]
+def align(a: list[str], b: list[str], lo: int, hi: int, least: int, every: int, path: bool = False):
+    """The longest stretch of ``a`` with ``least`` words and at most one edit in ``every`` that lies in ``b``: (words, edits, steps), or None.
+
+    Exact among all alignments whose places in ``b`` less those in ``a`` stay
+    within ``lo`` to ``hi``. Layer e holds for each end (place in a, diagonal)
+    the earliest start in ``a`` from which at most e edits lead there: it comes
+    by one edit from layer e - 1 and goes on along equal words. Steps, if
+    ``path``: (index in a or -1, index in b or -1, cost) in order.
+    """
+    import numpy as np
+
+    n, width = len(a), hi - lo + 1
+    number: dict[str, int] = {}
+    x = np.full(width + n - 1, -1)
+    for t in range(max(0, -lo), min(len(x), len(b) - lo)):
+        x[t] = number.setdefault(b[lo + t], len(number))
+    own = np.array([number.get(w, -2) for w in a])
+    differ = np.lib.stride_tricks.sliding_window_view(x, width) != own[:, None]
+    rows = np.arange(n + 1)[:, None]
+    shift = np.zeros((n + 1, width), np.int64)  # falls below all earlier values at each difference, which the minimum can't pass then
+    np.cumsum(differ, axis=0, out=shift[1:])
+    shift *= n + 1
+    layers, best, last = [], None, n // every
+    for e in range(last + 1):
+        now = np.repeat(rows, width, axis=1)
+        if e:
+            before = layers[-1]
+            np.minimum(now, before, out=now)
+            np.minimum(now[1:], before[:-1], out=now[1:])  # changed
+            np.minimum(now[1:, :-1], before[:-1, 1:], out=now[1:, :-1])  # left out
+            np.minimum(now[:, 1:], before[:, :-1], out=now[:, 1:])  # added
+        now = np.minimum.accumulate(now - shift, axis=0) + shift
+        layers = [*layers, now] if path else [now]
+        words = rows - now
+        most = int(words.max())
+        if most >= max(least, every * e) and (best is None or most > best[0]):
+            best = most, e, divmod(int(words.argmax()), width)
+        # more edits: none if the whole is found, or no run of 20 to 39 words is; a run of f edits is c + 1 runs of at most e and c edits
+        if most == n or best is None and e >= (2 * least - 1) // every:
+            break
+        if not any(max(every * f, best[0] + 1 if best else least) <= (f // (e + 1) + 1) * (most + 1) - 1 for f in range(e + 1, last + 1)):
+            break
+    if best is None:
+        return None
+    words, e, (i, k) = best
+    steps, cost = [], e
+    while path and i > layers[e][i, k]:
+        s, j = layers[e][i, k], lo + k + i - 1
+        j = j if 0 <= j < len(b) else -1
+        if not differ[i - 1, k] and layers[e][i - 1, k] == s:
+            i, step = i - 1, (i - 1, j, 0)
+        elif layers[e - 1][i, k] == s:
+            e, step = e - 1, None
+        elif layers[e - 1][i - 1, k] == s:
+            e, i, step = e - 1, i - 1, (i - 1, j, 1)
+        elif k + 1 < width and layers[e - 1][i - 1, k + 1] == s:
+            e, i, k, step = e - 1, i - 1, k + 1, (i - 1, -1, 1)
         else:
-            n, m = i2 - i1, j2 - j1
-            for k in range(max(n, m)):
-                steps.append((i1 + k if k < n else -1, j1 + k if k < m else -1, 1))
-    return steps
+            e, k, step = e - 1, k - 1, (-1, j, 1)
+        steps += [step] if step else []
+    return words, cost, steps[::-1]
 
 
 def best_run(steps: list[tuple[int, int, int]], least: int, every: int) -> tuple[int, int, int, int] | None:
@@ -114,21 +163,19 @@ def consistent(steps, item: list[str], item_t: list[str], doc: list[str]) -> tup
     return True, changed
 
 
-def compare(item: list[str], item_t: list[str], doc: list[str], doc_t: list[str], least: int, every: int) -> tuple[str, int, int, int] | None:
+def compare(item: list[str], item_t: list[str], doc: list[str], doc_t: list[str], lo: int, hi: int, least: int, every: int) -> tuple[str, int, int, int] | None:
     """How a stretch of a document reproduces a passage: (kind, words, edits, slots changed), or None.
 
-    Both are aligned as templates. If the words themselves qualify, slots that
-    differ counted as changed words, the kind is ``verbatim`` or ``edited``; if
-    only the templates do and their slots are consistent, ``reparameterised``.
+    If the words themselves qualify, the kind is ``verbatim`` or ``edited``;
+    if only the templates do and their slots are consistent,
+    ``reparameterised``. Alignments stay within the diagonals lo to hi.
     """
-    steps = _runs(item_t, doc_t)
-    exact = [(i, j, 1 if not c and item[i] != doc[j] else c) for i, j, c in steps]
-    if run := best_run(exact, least, every):
-        return ("verbatim" if best_run(exact, least, len(exact) + 1) else "edited"), run[2], run[3], 0
-    if run := best_run(steps, least, every):
-        ok, changed = consistent(steps[run[0]:run[1]], item, item_t, doc)
+    if run := align(item, doc, lo, hi, least, every):
+        return ("verbatim" if not run[1] or align(item, doc, lo, hi, least, len(item) + 1) else "edited"), run[0], run[1], 0
+    if run := align(item_t, doc_t, lo, hi, least, every, path=True):
+        ok, changed = consistent(run[2], item, item_t, doc)
         if ok and changed:
-            return "reparameterised", run[2], run[3], changed
+            return "reparameterised", run[0], run[1], changed
     return None
 
 
@@ -224,36 +271,43 @@ class Index:
         n = hi - lo
         first = np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(lo, n) + np.arange(n.sum()) - first
-        doc, pos, item = np.repeat(docs, n), np.repeat(at, n) - np.repeat(np.array(starts)[docs], n), self.owners[entry]
-        order = np.lexsort((pos, item, doc))
-        doc, pos, item = doc[order], pos[order], item[order]
+        doc, item = np.repeat(docs, n), self.owners[entry]
+        diagonal = np.repeat(at - np.array(starts)[docs], n) - self.places[entry]
+        order = np.lexsort((diagonal, item, doc))
+        doc, diagonal, item = doc[order], diagonal[order], item[order]
         edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), True])
         for a, b in zip(edge[:-1], edge[1:]):
             if b - a < MIN_WINDOWS:
                 continue
             d, i = int(doc[a]), int(item[a])
-            found = self._verify(words[d], pos[a:b], i)
+            found = self._verify(words[d], diagonal[a:b], i)
             if found:
                 yield (texts[d][0], self.items[i][0], *found)
 
-    def _verify(self, words: list[str], pos, i: int):
-        """The first kind of leak found around the hits, real words before re-parameterised ones."""
+    def _verify(self, words: list[str], diagonal, i: int):
+        """The first kind of leak found around the hits, real words before re-parameterised ones.
+
+        ``diagonal``: place in the document less place in the passage of each
+        hit, rising. One edit moves an alignment by one diagonal at most, so
+        it stays within its number of edits of any of its hits.
+        """
+        import numpy as np
+
         _, item, item_t = self.items[i]
-        margin = 2 * self.least + self.width
-        spans = []
-        for p in pos.tolist():  # spans of hits, none much longer than the passage
-            if spans and p - spans[-1][1] <= margin and p - spans[-1][0] <= 2 * len(item) + margin:
-                spans[-1][1] = p
-                spans[-1][2] += 1
+        near, far, k = (2 * self.least - 1) // self.every, len(item) // self.every, MIN_WINDOWS - 1
+        close = np.flatnonzero(diagonal[k:] - diagonal[:-k] <= near) if k else np.arange(len(diagonal))
+        spans: list[list[int]] = []
+        for d in np.unique(diagonal[np.unique(close[:, None] + np.arange(k + 1))]).tolist():  # bands of diagonals, none much wider than the passage is long
+            if spans and d - spans[-1][1] <= 2 * far + 1 and d - spans[-1][0] <= 2 * len(item):
+                spans[-1][1] = d
             else:
-                spans.append([p, p, 1])
+                spans.append([d, d])
         other = None
-        for k, (a, b, n) in enumerate(spans):
-            near = n + (spans[k - 1][2] if k and a - spans[k - 1][1] <= margin else 0) + (spans[k + 1][2] if k + 1 < len(spans) and spans[k + 1][0] - b <= margin else 0)
-            if near < MIN_WINDOWS:
-                continue
-            part = words[max(0, a - margin):b + self.width + margin]
-            found = compare(item, item_t, part, template(part, self.names), self.least, self.every)
+        for a, b in spans:
+            lo, hi = a - far, b + far
+            at = max(0, lo - 1)  # a unit shows by the word before
+            part = words[at:hi + len(item)]
+            found = compare(item, item_t, part, template(part, self.names), lo - at, hi - at, self.least, self.every)
             if found and found[0] != "reparameterised":
                 return found
             other = other or found

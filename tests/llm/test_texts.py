@@ -148,6 +148,52 @@ def test_leaks_against_brute_force():
     assert hits > 30 and len(wrong) <= 3  # the greedy alignment may differ at the very limit
 
 
+def searched(item, doc, **kw):
+    """What the search says of one document and one passage of words."""
+    index = leakage.Index([(1, " ".join(item))], **({"width": 5, "names": frozenset(), "least": 20, "every": 8} | kw))
+    return [r[2:] for r in index.search([(7, " ".join(doc))])]
+
+
+def test_leaks_with_out_of_order_quotes():
+    p = [f"w{k // 26}{chr(97 + k % 26)}" for k in range(60)]
+    p = [w.translate(str.maketrans("0123456789", "qxyzvwkjpu")) for w in p]  # no names or numbers
+    run = p[:24]
+    for k in (3, 10, 17):
+        run[k] = "changed"
+    assert searched(p, p[40:52] + ["four", "other", "words", "here"] + run) == [("edited", 24, 3, 0)]
+    rnd = random.Random(8)
+    hits = 0
+    for _ in range(150):
+        item, doc = sentence(rnd, rnd.randrange(30, 70)), sentence(rnd, 6)
+        for _ in range(3):
+            a = rnd.randrange(len(item) - 8)
+            part = item[a:a + rnd.choice((10, 14, 19, 24, 30))]
+            for _ in range(rnd.randrange(0, 5)):
+                k = rnd.randrange(len(part))
+                part[k:k + rnd.choice((0, 1, 1))] = rnd.choice(([], ["odd"], ["odd"]))
+            doc += part + sentence(rnd, rnd.randrange(0, 6))
+        got = [r for r in searched(item, doc) if r[0] != "reparameterised"]
+        hits += len(got)
+        assert bool(got) == brute(item, doc)
+    assert 20 < hits < 150
+
+
+def test_alignment_steps():
+    rnd = random.Random(9)
+    for _ in range(60):
+        a, b = sentence(rnd, 30), sentence(rnd, 8)
+        part = a[3:28]
+        for _ in range(2):
+            k = rnd.randrange(len(part))
+            part[k:k + rnd.choice((0, 1, 1))] = rnd.choice(([], ["odd"]))
+        b += part
+        words, edits, steps = leakage.align(a, b, -len(a), len(b), 20, 8, path=True)
+        assert sum(i >= 0 for i, _, _ in steps) == words and sum(c for _, _, c in steps) == edits <= words / 8
+        assert all(a[i] == b[j] for i, j, c in steps if not c)
+        places, ends = [i for i, _, _ in steps if i >= 0], [j for _, j, _ in steps if j >= 0]
+        assert places == list(range(places[0], places[0] + words)) and ends == list(range(ends[0], ends[0] + len(ends)))
+
+
 def test_best_run_is_the_longest():
     rnd = random.Random(6)
     for _ in range(200):
