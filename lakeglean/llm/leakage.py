@@ -49,6 +49,11 @@ def template(words: list[str], names: frozenset = frozenset()) -> list[str]:
     return out
 
 
+def window_word(w: str, names: frozenset = frozenset()) -> str:
+    """The word as windows hold it: its template, but a unit whatever stands before it, so that one changed word changes one."""
+    return UNIT if w in UNITS and w not in names else template([w], names)[0]
+
+
 def passage(text: str | None) -> str:
     """The longest line of an item's text; the others are instructions and questions."""
     return max((text or "").splitlines() or [""], key=len)
@@ -187,11 +192,11 @@ class Index:
 
         self.width, self.names, self.least, self.every = width, names, least, every
         self.items = [(i, w, template(w, names)) for i, w in ((i, canonical_words(passage(t))) for i, t in items) if len(w) >= least]
-        self.vocabulary = {t: k for k, t in enumerate(sorted({t for _, _, ts in self.items for t in ts} | {NUMBER, NAME, UNIT}), 1)}
+        keys = [[window_word(w, names) for w in ws] for _, ws, _ in self.items]
+        self.vocabulary = {t: k for k, t in enumerate(sorted({t for ts in keys for t in ts}), 1)}
         hashes, owners, places = [], [], []
-        for n, (_, _, ts) in enumerate(self.items):
-            ids = np.array([self.vocabulary[t] for t in ts], np.uint64)
-            h = self._hash(ids)
+        for n, ts in enumerate(keys):
+            h = self._hash(np.array([self.vocabulary[t] for t in ts], np.uint64))
             hashes.append(h)
             owners.append(np.full(len(h), n))
             places.append(np.arange(len(h)))
@@ -218,14 +223,14 @@ class Index:
         return h
 
     def ids(self, words: list[str]) -> list[int]:
-        """Template ids of words; 0 for one that no passage has."""
+        """Window ids of words; 0 for one that no passage has."""
         cache, out = self.cache, []
         if len(cache) > 1_000_000:
             cache.clear()
         for w in words:
             k = cache.get(w)
             if k is None:
-                k = cache[w] = self.vocabulary.get(template([w], self.names)[0], 0)
+                k = cache[w] = self.vocabulary.get(window_word(w, self.names), 0)
             out.append(k)
         return out
 
@@ -235,8 +240,6 @@ class Index:
 
         if not len(self.hashes):
             return
-        number, unit = self.vocabulary[NUMBER], self.vocabulary[UNIT]
-        units = {self.vocabulary[u] for u in UNITS if u in self.vocabulary}
         words, flat, starts = [], [], [0]
         for _, text in texts:
             w = canonical_words(text)
@@ -247,16 +250,6 @@ class Index:
         if len(flat) < self.width:
             return
         ids = np.array(flat, np.uint64)
-        after = np.r_[False, ids[:-1] == number]
-        if units or unit:
-            known = np.isin(ids, np.array(sorted(units), np.uint64))
-            # a unit that no passage has is 0 by the cache; it is a placeholder only after a number
-            own = after & known
-            for k in np.flatnonzero(after & (ids == 0)):
-                d = int(np.searchsorted(starts, k, "right")) - 1
-                if k - starts[d] < len(words[d]) and words[d][k - starts[d]] in UNITS:
-                    own[k] = True
-            ids[own] = unit
         h = self._hash(ids)
         zero = np.cumsum(np.r_[0, ids == 0])
         whole = zero[self.width:] == zero[:-self.width]

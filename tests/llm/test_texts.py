@@ -178,6 +178,21 @@ def test_leaks_with_out_of_order_quotes():
     assert 20 < hits < 150
 
 
+def test_a_changed_number_is_one_edit():
+    p = sentence(random.Random(10), 20)
+    p[9:11] = ["5", "seconds"]
+    doc = p.copy()
+    doc[9], doc[3] = "five", "other"
+    assert searched(p, doc) == [("edited", 20, 2, 0)]
+    p = sentence(random.Random(11), 24)
+    p[9:11] = ["5", "seconds"]
+    for number in (["five"], ["of"], [], ["5", "or"]):  # with two other edits only five windows are left
+        doc = p.copy()
+        doc[4], doc[15] = "other", "changed"
+        doc[9:10] = number
+        assert brute(p, doc) and searched(p, doc) == [("edited", 24, 3, 0)]
+
+
 def test_alignment_steps():
     rnd = random.Random(9)
     for _ in range(60):
