@@ -278,7 +278,7 @@ class Index:
                 yield (texts[d][0], self.items[i][0], *found)
 
     def _verify(self, words: list[str], diagonal, i: int):
-        """The first kind of leak found around the hits, real words before re-parameterised ones.
+        """The longest leak around the hits, real words before re-parameterised ones.
 
         ``diagonal``: place in the document less place in the passage of each
         hit, rising. One edit moves an alignment by one diagonal at most, so
@@ -295,16 +295,13 @@ class Index:
                 spans[-1][1] = d
             else:
                 spans.append([d, d])
-        other = None
+        leaks = []
         for a, b in spans:
             lo, hi = a - far, b + far
             at = max(0, lo - 1)  # a unit shows by the word before
             part = words[at:hi + len(item)]
-            found = compare(item, item_t, part, template(part, self.names), lo - at, hi - at, self.least, self.every)
-            if found and found[0] != "reparameterised":
-                return found
-            other = other or found
-        return other
+            leaks.append(compare(item, item_t, part, template(part, self.names), lo - at, hi - at, self.least, self.every))
+        return max(filter(None, leaks), key=lambda x: (x[0] != "reparameterised", x[1], -x[2], x[0]), default=None)
 
 
 _INDEXES: dict[str, Index] = {}

@@ -193,6 +193,15 @@ def test_a_changed_number_is_one_edit():
         assert brute(p, doc) and searched(p, doc) == [("edited", 24, 3, 0)]
 
 
+def test_the_longest_leak_of_a_document_is_told():
+    rnd = random.Random(12)
+    p = sentence(rnd, 60)
+    short = p[10:30]
+    short[5] = "other"
+    assert searched(p, short + sentence(rnd, 200) + p) == [("verbatim", 60, 0, 0)]
+    assert searched(p, p + sentence(rnd, 200) + short) == [("verbatim", 60, 0, 0)]
+
+
 def test_alignment_steps():
     rnd = random.Random(9)
     for _ in range(60):
