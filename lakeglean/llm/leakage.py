@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from lakeglean.llm.words import canonical_words
 from lakeglean.session import ship
 
-#: Words of a template window. A run of 20 words with 1 in 8 changed has a run of at least 6 unchanged.
+#: Most words of a template window.
 WINDOW = 5
 MIN_WORDS = 20
 #: One word in so many may be changed, left out or added.
 EDIT_EVERY = 8
-#: Any qualifying run holds a qualifying run of 20 to 39 words, which has at least this many unchanged windows.
-MIN_WINDOWS = 5
 #: Characters of passages that one pass over the corpus looks for; more items take more passes.
 BLOCK_CHARS = 8_000_000
 
@@ -54,6 +52,16 @@ def window_word(w: str, names: frozenset = frozenset()) -> str:
     return UNIT if w in UNITS and w not in names else template([w], names)[0]
 
 
+def unchanged_windows(width: int, least: int, every: int) -> int:
+    """The fewest unchanged windows of a qualifying run. Any holds one of ``least`` to 2 * least - 1 words, where an edit breaks at most ``width`` windows."""
+    return min(n - width + 1 - width * (n // every) for n in range(least, 2 * least))
+
+
+def window_width(least: int, every: int) -> int:
+    """The widest window, up to ``WINDOW`` words, of which a qualifying run always keeps one unchanged."""
+    return next((w for w in range(WINDOW, 0, -1) if unchanged_windows(w, least, every) > 0), 1)
+
+
 def passage(text: str | None) -> str:
     """The longest line of an item's text; the others are instructions and questions."""
     return max((text or "").splitlines() or [""], key=len)
@@ -191,6 +199,7 @@ class Index:
         import numpy as np
 
         self.width, self.names, self.least, self.every = width, names, least, every
+        self.fewest = unchanged_windows(width, least, every)
         self.items = [(i, w, template(w, names)) for i, w in ((i, canonical_words(passage(t))) for i, t in items) if len(w) >= least]
         keys = [[window_word(w, names) for w in ws] for _, ws, _ in self.items]
         self.vocabulary = {t: k for k, t in enumerate(sorted({t for ts in keys for t in ts}), 1)}
@@ -270,7 +279,7 @@ class Index:
         doc, diagonal, item = doc[order], diagonal[order], item[order]
         edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), True])
         for a, b in zip(edge[:-1], edge[1:]):
-            if b - a < MIN_WINDOWS:
+            if b - a < self.fewest:
                 continue
             d, i = int(doc[a]), int(item[a])
             found = self._verify(words[d], diagonal[a:b], i)
@@ -287,8 +296,8 @@ class Index:
         import numpy as np
 
         _, item, item_t = self.items[i]
-        near, far, k = (2 * self.least - 1) // self.every, len(item) // self.every, MIN_WINDOWS - 1
-        close = np.flatnonzero(diagonal[k:] - diagonal[:-k] <= near) if k else np.arange(len(diagonal))
+        near, far, k = (2 * self.least - 1) // self.every, len(item) // self.every, self.fewest - 1
+        close = np.flatnonzero(diagonal[k:] - diagonal[:len(diagonal) - k] <= near)
         spans: list[list[int]] = []
         for d in np.unique(diagonal[np.unique(close[:, None] + np.arange(k + 1))]).tolist():  # bands of diagonals, none much wider than the passage is long
             if spans and d - spans[-1][1] <= 2 * far + 1 and d - spans[-1][0] <= 2 * len(item):
@@ -352,7 +361,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_CHAR
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, width: int = WINDOW, least: int = MIN_WORDS, every: int = EDIT_EVERY,
+def leaks(documents: DataFrame, items: DataFrame, width: int | None = None, least: int = MIN_WORDS, every: int = EDIT_EVERY,
           names: frozenset = frozenset(), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, kind, n_words, n_edits, n_slots) of each document that holds an item's passage.
 
@@ -370,7 +379,15 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = WINDOW, least: in
     Null and empty texts hold nothing and passages below ``least`` words are
     not searched. A document is listed once for each item; repeated rows of
     documents come out once. Extra columns are ignored. Null ids stay null.
+
+    Without ``width`` the windows are as wide as ``least`` and ``every``
+    allow; a width of which a qualifying run may keep no window is refused.
     """
+    if least < 1 or every < 1:
+        raise ValueError("least and every must be at least 1")
+    width = window_width(least, every) if width is None else width
+    if width < 1 or unchanged_windows(width, least, every) < 1:
+        raise ValueError(f"a run of {least} words with one in {every} changed may keep no unchanged window of {width} words")
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

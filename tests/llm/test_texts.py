@@ -202,6 +202,17 @@ def test_the_longest_leak_of_a_document_is_told():
     assert searched(p, p + sentence(rnd, 200) + short) == [("verbatim", 60, 0, 0)]
 
 
+def test_windows_follow_from_least_and_every(spark, rows):
+    p = sentence(random.Random(13), 20)
+    doc = ["changed" if k % 5 == 4 else w for k, w in enumerate(p)]
+    got = found(spark, rows, [(1, " ".join(doc))], [(7, " ".join(p))], every=5)
+    assert {k: (r.kind, r.n_words, r.n_edits) for k, r in got.items()} == {(1, 7): ("edited", 20, 4)}
+    assert leakage.window_width(20, 8) == 5 and leakage.unchanged_windows(5, 20, 8) == 5
+    for bad in ({"every": 5, "width": 5}, {"every": 1}, {"every": 0}, {"least": 0}, {"width": 0}):
+        with pytest.raises(ValueError):
+            found(spark, rows, [], [], **bad)
+
+
 def test_alignment_steps():
     rnd = random.Random(9)
     for _ in range(60):
