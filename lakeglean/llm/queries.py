@@ -47,8 +47,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    """All line rules: what a cleaning would remove, and which documents it rejects."""
-    return repetition.clean_lines(_table(spark, d, "documents"))
+    """All line rules: what the cleaning removes, the text it leaves, and which documents it rejects."""
+    return repetition.clean_lines(_table(spark, d, "documents"), keep=True)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

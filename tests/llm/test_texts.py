@@ -277,3 +277,16 @@ def test_line_rules(spark, rows):
     for bad in ({"rules": ("nope",)}, {"run": 0}, {"reject": 0}):
         with pytest.raises(ValueError):
             repetition.clean_lines(rows(DOC), **bad)
+
+
+def test_kept_text(spark, rows):
+    text = "A full sentence stands here.\r\nHome | News | About | Contact\nAll rights reserved by us.\n\nShort, then: a Full sentence stands HERE. Groß end."
+    texts = [text, None, "", "x y z v w x y z v w.", "Straße İx one two three.\nstraße İx one two three four."]
+    docs = [(i, t, "clash", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in repetition.clean_lines(rows(DOC, docs), keep=True).collect()}
+    assert [got[i].kept_text for i in range(5)] == ["A full sentence stands here.\r\n\nShort, then: Groß end.", None, "", "x y z v w ", "Straße İx one two three.\nfour."]
+    rnd = random.Random(14)
+    docs = [(i, "\n".join(" ".join(rnd.choice("a b c d. e".split()) for _ in range(rnd.randrange(0, 12))) for _ in range(6)), "", 0) for i in range(40)]
+    for r in repetition.clean_lines(rows(DOC, docs), keep=True).collect():
+        assert len(canonical_words(r.kept_text)) == r.n_words - r.n_lost
+    assert "kept_text" not in repetition.clean_lines(rows(DOC)).columns
