@@ -12,7 +12,7 @@ from lakeglean.plans.errors import QueryError
 
 METRICS = {"min": F.min, "max": F.max, "avg": F.avg, "sum": F.sum, "value_count": F.count, "cardinality": F.approx_count_distinct}
 BUCKETS = {"terms": {"field", "size"}, "range": {"field", "ranges"}, "histogram": {"field", "interval", "offset", "min_doc_count"}, "date_histogram": {"field", "fixed_interval", "min_doc_count"}}
-#: A request may make at most this many buckets on one level.
+#: A request to aggregate() may make at most this many buckets on one level.
 MAX_BUCKETS = 65_000
 _UNITS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400}
 
@@ -139,12 +139,12 @@ def _keyed(df: DataFrame, kind: str, p: dict, name: str = "_key") -> DataFrame:
 
 
 def bucket_frame(df: DataFrame, kind: str, p: dict, sub: dict | None = None) -> DataFrame:
-    """(_key, doc_count, metrics...) of one bucket aggregation, ordered as it is reported."""
+    """(_key, doc_count, metrics...) of one bucket aggregation, ordered as it is reported, however many buckets."""
     df = _keyed(df, kind, p)
     out = df.groupBy("_key").agg(F.count(F.lit(1)).alias("doc_count"), *(c.alias(n) for n, c in metric_columns(df, sub or {}).items()))
     if kind == "terms":
         return out.orderBy(F.desc("doc_count"), F.asc("_key")).limit(int(p.get("size", 10)))
-    return out.orderBy("_key").limit(MAX_BUCKETS + 1)
+    return out.orderBy("_key")
 
 
 def aggregate(df: DataFrame, aggs, fields: dict | None = None) -> dict:

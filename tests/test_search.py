@@ -270,3 +270,10 @@ def test_many_splits_rank_as_one_scan(spark):
     parts = [(round(r.score, 9), i, json.loads(r.doc)["id"]) for i in range(12) for r in Index(spark, f"{root}/{i:02d}").search("dog", {"fast": ["id"]}).collect()]
     assert [json.loads(r.doc)["id"] for r in many.search("dog", {"fast": ["id"]}).collect()] == [d for _, _, d in sorted(parts, key=lambda x: (-x[0], x[1], x[2]))]
     assert many.count("fox") == 48 and len(ids(many, "fox", global_stats=True, top_k=7)) == 7
+
+
+def test_bucket_frames_are_whole(spark):
+    from lakeglean.operators import aggregations
+
+    df = spark.range(70_000).withColumnRenamed("id", "n")
+    assert aggregations.bucket_frame(df, "histogram", {"field": "n", "interval": 1}).count() == 70_000
