@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakeglean.session import scratch, ship
+from lakeglean.session import scratch
 from lakeglean.sources.fs import Fs
 
 SMALL = 1_048_576
 TARGET = 128 * 1_048_576
+#: Outputs of a directory that one task of the plan cuts.
+PART_OUTPUTS = 64
 
 
 class ChecksumMismatch(RuntimeError):
@@ -71,55 +74,50 @@ def small_files(files: DataFrame, garbage: DataFrame, company: int = 5, below: i
     return small.join(busy, small["volume"].eqNullSafe(busy["v"]) & small["dir"].eqNullSafe(busy["d"]), "left_semi").select("volume", "dir", "path", "file_id", "size")
 
 
-def plan_merges(small: DataFrame, target: int = TARGET, advisory_bytes: int = 4 * 1_048_576) -> DataFrame:
+def plan_merges(small: DataFrame, target: int = TARGET) -> DataFrame:
     """Assign each small file to one output file and one byte range of it.
 
-    Columns: volume, dir, path, file_id, size, output (partition of the plan
-    and number of the file in it), first_byte. Rows are shuffled by directory
-    under REBALANCE: runtime statistics merge small directories into one
-    partition and split a directory that is too large, so each partition packs
-    its part of a directory in file order and no directory is one task's work.
-    Outputs are at most ``target`` bytes, and only the last of a directory in a
-    partition is smaller than target - (the largest small file).
+    Columns: volume, dir, path, file_id, size, output (path of the merged file
+    in its volume), first_byte.
+
+    Rows are shuffled by directory under REBALANCE, each file as one row for
+    every mean file size it holds, so the runtime statistics weigh files by
+    their bytes: small directories are merged into one partition of the plan,
+    a directory of more than ``PART_OUTPUTS`` outputs is split, and none is one
+    task's work. Within a partition running sums in file order cut each
+    directory into outputs. No output exceeds ``target`` (unless one file
+    does), and only the last of a directory in a partition has fewer bytes than
+    ``target`` less twice the largest small file.
 
     The plan is committed only if it is the same multiset of (volume, path,
-    file_id, size) as its input, else ChecksumMismatch is raised.
+    file_id, size) as its input, else ChecksumMismatch is raised. No files, no
+    plan.
     """
     spark = small.sparkSession
-    ship(spark)
-    staged = scratch(spark, "small-files")
-    small.write.parquet(staged)
-    source = spark.read.schema(small.schema).parquet(staged)
-    with advisory(spark, advisory_bytes):
-        spread = source.hint("rebalance", "volume", "dir").withColumn("part", F.spark_partition_id())
-        # an output closes when the next file would pass the target
-        bins = spread.sortWithinPartitions("part", "volume", "dir", "file_id", "path").mapInPandas(_Fill(target), "volume string, dir string, path string, file_id long, size long, part int, bin int, first_byte long")
-        out = scratch(spark, "merge-plan")
-        bins.write.parquet(out)
-    plan = spark.read.schema(bins.schema).parquet(out)
+    root = scratch(spark, "merge-plan")
+    fs = Fs(spark, root)
+    small.write.parquet(f"{root}/files")
+    source = spark.read.schema(small.schema).parquet(f"{root}/files")
+    n, total, largest = source.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    unit = max((total or 0) // max(n, 1), 1)
+    row_bytes = sum(size for _, size in fs.data_files("files")) / max(n, 1)
+    with advisory(spark, max(int(PART_OUTPUTS * target / unit * row_bytes), 1 << 16)):
+        weighed = source.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / unit) - 1, F.lit(0).cast("long")))))
+        weighed.hint("rebalance", "volume", "dir").filter("__k = 0").drop("__k").withColumn("part", F.spark_partition_id()).write.parquet(f"{root}/parts")
+    parts = spark.read.schema(T.StructType([*small.schema.fields, T.StructField("part", T.IntegerType())])).parquet(f"{root}/parts")
+    w = Window.partitionBy("part", "volume", "dir").orderBy("file_id", "path")
+    room = max(target - (largest or 0), 1)  # a file that starts in it ends within the target
+    at = parts.withColumn("start", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("bin", F.floor(F.col("start") / room))
+    first = F.min("start").over(Window.partitionBy("part", "volume", "dir", "bin"))
+    output = F.concat(F.coalesce("dir", F.lit("null-")), F.lit("merged-"), F.col("part"), F.lit("-"), F.col("bin"))
+    at.select("volume", "dir", "path", "file_id", "size", output.alias("output"), (F.col("start") - first).alias("first_byte")).write.parquet(f"{root}/plan")
+    plan = spark.read.schema("volume string, dir string, path string, file_id long, size long, output string, first_byte long").parquet(f"{root}/plan")
     same = ["volume", "path", "file_id", "size"]
     if multiset_checksum(source.select(*same)) != multiset_checksum(plan.select(*same)):
         raise ChecksumMismatch("the plan does not hold each small file exactly once")
-    return plan.select("volume", "dir", "path", "file_id", "size", F.concat_ws("-", "part", "bin").alias("output"), "first_byte")
-
-
-class _Fill:
-    """Next-fit over rows sorted by directory; keeps only the open output."""
-
-    def __init__(self, target: int):
-        self.target = target
-
-    def __call__(self, batches):
-        here, n, used = None, -1, 0
-        for pdf in batches:
-            bins, starts = [], []
-            for part, volume, d, size in zip(pdf["part"], pdf["volume"], pdf["dir"], pdf["size"]):
-                if (part, volume, d) != here or used + size > self.target:
-                    here, n, used = (part, volume, d), n + 1, 0
-                bins.append(n)
-                starts.append(used)
-                used += size
-            yield pdf.assign(bin=bins, first_byte=starts)[["volume", "dir", "path", "file_id", "size", "part", "bin", "first_byte"]]
+    for part in ("files", "parts"):
+        fs.delete(part)
+    return plan
 
 
 def compact(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET, by: list[str] = ()) -> dict:

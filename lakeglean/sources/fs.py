@@ -17,17 +17,22 @@ class Fs:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self.path("").getFileSystem(self._conf)
         self.local = self._fs.getUri().getScheme() == "file"
+        self._base = self.path("").toUri().getPath() if self.local else ""
 
     def path(self, rel: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rel}" if rel else self.root)
 
     def _os(self, rel: str) -> str:
-        return self.path(rel).toUri().getPath()
+        return f"{self._base}/{rel}" if rel else self._base
 
     def exists(self, rel: str = "") -> bool:
+        if self.local:
+            return os.path.exists(self._os(rel))
         return self._fs.exists(self.path(rel))
 
     def mkdirs(self, rel: str = "") -> None:
+        if self.local:
+            return os.makedirs(self._os(rel), exist_ok=True)
         self._fs.mkdirs(self.path(rel))
 
     def delete(self, rel: str) -> bool:
@@ -38,12 +43,24 @@ class Fs:
 
     def names(self, rel: str = "") -> list[str]:
         """Names in one directory, in byte order; empty if it is absent."""
+        if self.local:
+            try:
+                return sorted(os.listdir(self._os(rel)), key=lambda n: n.encode())
+            except FileNotFoundError:
+                return []
         if not self.exists(rel):
             return []
         return sorted((s.getPath().getName() for s in self._fs.listStatus(self.path(rel))), key=lambda n: n.encode())
 
     def files(self, rel: str = "") -> list[tuple[str, int, int]]:
         """(path below root, size, modified ms) of every file below ``rel``."""
+        if self.local:
+            base, out = self._os(""), []
+            for folder, _, own in os.walk(self._os(rel)):
+                for p in (f"{folder}/{n}" for n in own):
+                    s = os.stat(p)
+                    out.append((os.path.relpath(p, base), s.st_size, s.st_mtime_ns // 1_000_000))
+            return sorted(out, key=lambda x: x[0].encode())
         if not self.exists(rel):
             return []
         base, out = self.path("").toUri().getPath().rstrip("/") + "/", []

@@ -92,13 +92,10 @@ class LakeTable:
             if m.get("vectors") or m["remove"]:
                 before = self.log.snapshot(v - 1)
                 if m["remove"]:
-                    rows = self.log._rows(before, [p for p in m["remove"] if p in before.files])
-                    if (dead := self.log._dead(before.vectors)) is not None:
-                        rows = rows.join(dead, [FILE, POSITION], "left_anti")
+                    rows = self.log._live(before, [p for p in m["remove"] if p in before.files])
                     parts.append(rows.withColumn("change_type", F.lit("delete")))
                 if m.get("vectors"):
-                    gone = self.log._dead(m["vectors"])
-                    rows = self.log._rows(before, list(before.files)).join(gone, [FILE, POSITION], "left_semi")
+                    rows = self.log.deleted(before, m["vectors"])
                     parts.append(rows.withColumn("change_type", F.lit("update_preimage" if update else "delete")))
             for p in parts:
                 p = p.withColumn(SNAPSHOT, F.lit(v).cast("long")).drop(FILE, POSITION)
@@ -165,22 +162,21 @@ class LakeTable:
     def delete(self, condition: Column | str) -> int:
         """Delete the rows for which the condition is true; no version if there are none."""
         base = self.version()
-        hit = self._hit(condition, base)
-        if not hit.limit(1).count():
-            return base
-        return self._commit("delete", self._meta(base), base, vector=hit.select(FILE, POSITION))
+        dead = self.log.write_vector(self._hit(condition, base).select(FILE, POSITION))
+        return base if dead is None else self._commit("delete", self._meta(base), base, vector=dead)
 
     def update(self, condition: Column | str, assign: dict[str, Column]) -> int:
         """Set columns where the condition is true; rows keep their rowid."""
         base = self.version()
         meta, hit = self._meta(base), self._hit(condition, base)
-        if not hit.limit(1).count():
+        dead = self.log.write_vector(hit.select(FILE, POSITION))
+        if dead is None:
             return base
         rows = hit.drop(FILE, POSITION)
         kinds = {f.name: f.dataType for f in rows.schema.fields}
         new = rows.withColumns({c: v.cast(kinds[c]) for c, v in assign.items()} | {SNAPSHOT: F.lit(base + 1).cast("long")})
         self._check(new, meta)
-        return self._commit("update", meta, base, vector=hit.select(FILE, POSITION), add=new)
+        return self._commit("update", meta, base, vector=dead, add=new)
 
     def drop(self) -> None:
         self.log.fs.delete("")
@@ -194,6 +190,15 @@ class LakeTable:
         return self.insert(self.spark.read.parquet(*paths))
 
     # -- maintenance -------------------------------------------------------
+    def _rewritten(self, op: str, meta: dict, base: int, before: DataFrame, laid: DataFrame, **kw) -> int:
+        """Write ``laid``, compare it with ``before`` as multisets, and only then publish it."""
+        staged = self.log.write_files(laid, meta["options"])
+        if multiset_checksum(before) != multiset_checksum(self.log._rows(self._shaped(staged["schema"]), [a["path"] for a in staged["add"]]).drop(FILE, POSITION)):
+            for a in staged["add"]:
+                self.log.fs.delete(f"data/{a['path']}")
+            raise ChecksumMismatch(f"{op} would have changed the rows; nothing was published")
+        return self._commit(op, meta, base, add=staged, data_change=False, **kw)
+
     def compact(self, target_bytes: int = 128 << 20) -> int:
         """Rewrite all files into well-sized ones without deleted rows; rows and their ids stay the same."""
         base = self.version()
@@ -201,25 +206,23 @@ class LakeTable:
         rows = self.log.read(base)
         with advisory(self.spark, target_bytes):
             laid = self._laid_out(rows, meta) if meta["sorted_by"] else rows.hint("rebalance")
-            done = self._commit("compact", meta, base, add=laid, remove=list(s.files), clear=s.vectors, data_change=False)
-        if multiset_checksum(self.log.read(base)) != multiset_checksum(self.log.read(done)):
-            raise ChecksumMismatch("compaction changed the rows")
-        return done
+            return self._rewritten("compact", meta, base, rows, laid, remove=list(s.files), clear=list(s.vectors))
 
     def rewrite(self, delete_threshold: float = 0.1) -> int:
-        """Rewrite the files of which at least this share of rows is deleted."""
+        """Rewrite the files of which at least this share of rows is deleted; only files that a vector touches are read."""
         base = self.version()
         s, meta = self.log.snapshot(base), self._meta(base)
-        dead = self.log._dead(s.vectors)
-        if dead is None:
+        touched = {f for v in s.vectors.values() for f in v["files"]}.intersection(s.files)
+        if not touched:
             return base
-        rows = self.log._rows(s, list(s.files)).groupBy(FILE).agg(F.count(F.lit(1)).alias("n"))
-        share = rows.join(dead.distinct().groupBy(FILE).agg(F.count(F.lit(1)).alias("d")), FILE)
-        bad = [r[0] for r in share.filter(F.col("d") >= F.col("n") * delete_threshold).select(FILE).collect()]
+        rows = self.log._rows(s, sorted(touched)).groupBy(FILE).agg(F.count(F.lit(1)).alias("n"))
+        dead = self.log._dead(list(s.vectors)).distinct().groupBy(FILE).agg(F.count(F.lit(1)).alias("d"))
+        bad = [r[0] for r in rows.join(dead, FILE).filter(F.col("d") >= F.col("n") * delete_threshold).select(FILE).collect()]
         if not bad:
             return base
-        live = self.log._rows(s, bad).join(dead, [FILE, POSITION], "left_anti").drop(FILE, POSITION)
-        return self._commit("rewrite", meta, base, add=live, remove=bad, data_change=False)
+        live = self.log._live(s, bad).drop(FILE, POSITION)
+        left = set(s.files) - set(bad)
+        return self._rewritten("rewrite", meta, base, live, live, remove=bad, clear=[k for k, v in s.vectors.items() if not left.intersection(v["files"])])
 
     def expire(self, before: int) -> int:
         """Versions below ``before`` can't be read any more; the new horizon."""

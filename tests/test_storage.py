@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeglean.operators import ivf
+from lakeglean.operators.compaction import ChecksumMismatch
 from lakeglean.session import scratch
 from lakeglean.sources.database import Database, Fenced
 from lakeglean.sources.lake import ConstraintError, LakeTable, VersionExpired
@@ -119,6 +120,20 @@ def test_lake_empty_and_same_rows(spark):
     assert t.at().count() == 3 and t.update("v is null", {"v": F.lit(1)}) == 2 and t.snapshots().count() == 2
 
 
+def test_failed_maintenance_publishes_nothing(spark, monkeypatch):
+    t = LakeTable(spark, scratch(spark, "t"))
+    t.create(spark.createDataFrame([(i,) for i in range(40)], "k int"))
+    t.delete("k % 2 = 0")
+    write = t.log.write_files
+    for name in ("compact", "rewrite"):
+        monkeypatch.setattr(t.log, "write_files", lambda df, o=None: write(df.filter("k <> 5"), o))
+        with pytest.raises(ChecksumMismatch):
+            getattr(t, name)()
+        assert t.version() == 2 and t.at().count() == 20
+        monkeypatch.undo()
+    assert t.rewrite() == 3 and t.compact() == 4 and t.at().count() == 20 and not t.log.snapshot().vectors
+
+
 def test_database(spark):
     db = Database(spark, scratch(spark, "d"))
     w = db.writer()

@@ -86,7 +86,7 @@ def test_sequence_profile(spark, rows):
     got = {r.file_id: tuple(r)[1:] for r in skew.sequence_profile(rows("file_id long, no int, salt string", [(*x, "clash") for x in data]), share=0.3, salts=4).collect()}
     assert got == {1: (2000, 700, 0, 699, 0), 2: (3, 2, 0, 5, 4), 3: (1, 0, None, None, 0), 4: (1, 1, -1, -1, 0), None: (2, 2, 1, 3, 2)}
     assert skew.sequence_profile(rows("file_id long, no int")).count() == 0
-    assert skew.heavy_keys(rows("file_id long", [(1,), (1,), (2,), (None,)]), "file_id", 0.5) == [1]
+    assert skew.heavy_keys(rows("file_id long", [(1,), (1,), (2,), (None,)]), "file_id", 0.5) == (4, [1])
     with pytest.raises(ValueError):
         skew.heavy_keys(rows("file_id long"), "file_id", 0)
 
@@ -120,7 +120,7 @@ def test_small_files_and_plan(spark, rows):
     plan = compaction.plan_merges(small, target=30).collect()
     outs = defaultdict(list)
     for r in plan:
-        outs[r.output].append(r)
+        outs[r.volume, r.output].append(r)
     for own in outs.values():
         assert len({(r.volume, r.dir) for r in own}) == 1 and sum(r.size for r in own) <= 30
         at = 0
@@ -166,3 +166,58 @@ def test_change_feed_random_with_base(spark, rows):
     for k, g, v in sorted(feed, key=lambda x: (x[1], -1 if x[2] is None else x[2])):
         state[k] = (g, v)
     assert sorted(map(tuple, got.collect())) == sorted((k, g, v) for k, (g, v) in state.items() if v is not None)
+
+
+def test_change_feed_older_than_base(spark, rows):
+    base = rows("k int, g long, v long", [(1, 5, 10), (2, 5, 20), (3, None, 30), (None, 5, 40)])
+    feed = rows("k int, g long, v long, note string", [(1, 3, 11, "late"), (2, 5, 21, ""), (3, 1, None, ""), (None, None, 41, "late"), (4, None, 44, "")])
+    got = changefeed.resolve(feed, ["k"], "g", ["v"], base=base, tombstone=F.col("v").isNull())
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 5, 10), (2, 5, 21), (None, 5, 40), (4, None, 44)], key=str)
+    assert changefeed.resolve(rows("k int, g long, v long"), ["k"], "g", ["v"], base=base).count() == 4
+
+
+def test_salt_splits_a_key_with_one_number(spark, rows):
+    """All rows of a heavy key have the same number: only the salt can spread them."""
+    data = rows("file_id long, no int", [(1, 7)] * 4000 + [(i, 0) for i in range(2, 200)])
+    total, heavy = skew.heavy_keys(data, "file_id")
+    assert (total, heavy) == (4198, [1])
+    parts = [r.n for r in skew.partials(data, heavy, 8).filter("file_id = 1").collect()]
+    assert len(parts) == 8 and sum(parts) == 4000 and max(parts) < 4000 / 4
+    assert len(skew.partials(data, [], 8).filter("file_id = 1").collect()) == 1
+    assert {r.file_id: r.n_rows for r in skew.sequence_profile(data).filter("file_id < 3").collect()} == {1: 4000, 2: 1}
+
+
+def test_pending_in_any_order_of_arrival_and_after_a_crash(spark, rows, monkeypatch):
+    rnd = random.Random(11)
+    gens = [(db, g, T(rnd.randrange(20)) if rnd.random() < 0.9 else None) for db in (1, 2) for g in rnd.choices(range(1, 60), k=120)]
+    runs = [(rnd.choice((1, 2)), a, a + rnd.choice((1, 3, 17)), T(rnd.randrange(20)) if rnd.random() < 0.9 else None) for a in (rnd.randrange(60) for _ in range(30))]
+    log = incremental.PendingVersions(spark, scratch(spark, "t"))
+    for n in range(3):
+        log.gens.commit(add=rows("db_id int, gen long, committed_at timestamp_ntz", gens[n::3]))
+        log.runs.commit(add=rows("db_id int, from_gen long, to_gen long, started_at timestamp_ntz", runs[n::3]))
+        if n == 1:  # dies between writing and committing
+            with monkeypatch.context() as m:
+                m.setattr(incremental.ManifestTable, "commit", lambda *a, **k: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    log.run()
+        assert log.run() == {"gens": n + 1, "runs": n + 1} and log.run() is None
+    newest = {}
+    for db, g, at in gens:
+        newest[db, g] = max((x for x in (newest.get((db, g)), at) if x is not None), default=None)
+    want = {(k, at) for k, at in newest.items() if not any(d == k[0] and a < k[1] <= b and (at is None or s is not None and s >= at) for d, a, b, s in runs)}
+    assert {((r.db_id, r.gen), r.newest) for r in log.pending.read().collect()} == want
+    read = [log.pending.manifest(v)["files_read"]["pending/gens"] for v in (1, 2, 3)]
+    assert read == [len(log.gens.manifest(v)["add"]) for v in (1, 2, 3)]
+
+
+def test_diff_reads_only_touched_files(spark, rows):
+    t = incremental.ManifestTable(spark, scratch(spark, "t"))
+    for i in range(3):
+        t.commit(add=rows("k int", [(10 * i + j,) for j in range(4)]).coalesce(1))
+    before = t.snapshot()
+    t.commit(vector=t.read(positions=True).filter("k = 11").select(incremental.FILE, incremental.POSITION))
+    v = list(t.snapshot().vectors.values())
+    assert v[0]["rows"] == 1 and len(v[0]["files"]) == 1 and t.changed_files(3) == v[0]["files"]
+    assert {p.rsplit("/data/", 1)[1] for p in t.diff(3).inputFiles() if "/data/" in p} == set(v[0]["files"])
+    assert net(t.diff(3)) == Counter({("delete", 11): 1}) and t.read().count() == 11
+    assert t.deleted(before, v).select("k").collect()[0].k == 11
