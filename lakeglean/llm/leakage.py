@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeglean.llm.words import canonical_words
+from lakeglean.llm.words import WORD, canonical_words, visible
 from lakeglean.session import ship
 
 #: Most words of a template window.
@@ -25,12 +27,16 @@ UNITS = frozenset("b kb mb gb tb kib mib gib tib ms s sec secs second seconds mi
 SCHEMA = "doc_id long, item_id long, kind string, n_words int, n_edits int, n_slots int"
 
 
-def template(words: list[str], names: frozenset = frozenset()) -> list[str]:
+#: In a passage of more capitals than this share, capitals don't tell names.
+MOST_CAPITALS = 0.25
+
+
+def template(words: list[str], names=frozenset(), units=UNITS) -> list[str]:
     """Numbers, names and units replaced by typed placeholders.
 
     A word of digits is a number; one that mixes letters and digits (an
     identifier) or stands in ``names`` is a name; a unit counts as such only
-    after a number. Case can't tell a name, since it doesn't matter here.
+    after a number.
     """
     out, before = [], ""
     for w in words:
@@ -38,7 +44,7 @@ def template(words: list[str], names: frozenset = frozenset()) -> list[str]:
             t = NUMBER
         elif w in names or (not w.isalpha() and any(c.isdigit() for c in w)):
             t = NAME
-        elif before == NUMBER and w in UNITS:
+        elif before == NUMBER and w in units:
             t = UNIT
         else:
             t = w
@@ -47,9 +53,45 @@ def template(words: list[str], names: frozenset = frozenset()) -> list[str]:
     return out
 
 
-def window_word(w: str, names: frozenset = frozenset()) -> str:
+def window_word(w: str, names=frozenset(), units=UNITS) -> str:
     """The word as windows hold it: its template, but a unit whatever stands before it, so that one changed word changes one."""
-    return UNIT if w in UNITS and w not in names else template([w], names)[0]
+    return UNIT if w in units and w not in names else template([w], names)[0]
+
+
+_INNER = re.compile(r"(?<=[^\W_])[\s,;:()\"'\u00ab\u00bb\u201c-\u201e-]+([^\W_]+)")
+
+
+def names_and_units(passages: list[str]) -> tuple[frozenset, frozenset]:
+    """Names and units of the passages, found before case is folded.
+
+    A name is capitalised inside a sentence and nowhere in lower case; passages
+    in which every fourth word and more is capitalised (German, titles) name
+    none. A unit follows at least two different numbers, and more often a number
+    than anything else.
+    """
+    names, small, after, seen = set(), set(), defaultdict(set), Counter()
+    number_before = Counter()
+    for p in passages:
+        shown = visible(p)
+        inner = _INNER.findall(shown)
+        small.update(w for w in inner if w.islower())
+        capitals = [w for w in inner if w[:1].isupper() and w.isalpha() and len(w) > 1]
+        if len(capitals) <= MOST_CAPITALS * len(inner):
+            names.update(w.casefold() for w in capitals)
+        words = canonical_words(p)
+        seen.update(words)
+        for a, b in zip(words, words[1:]):
+            if a.isdigit() and b.isalpha():
+                after[b].add(a)
+                number_before[b] += 1
+    units = {w for w, numbers in after.items() if len(numbers) > 1 and 2 * number_before[w] > seen[w]}
+    return frozenset(names - small - units), frozenset(units)
+
+
+def capitals(words: list[str], raw: list[str]) -> set[str]:
+    """Words that a document writes with a capital, if most of its words have none."""
+    up = [w for w, r in zip(words, raw) if r[0] != w[0]]
+    return set(up) if 2 * len(up) < len(words) else set()
 
 
 def unchanged_windows(width: int, least: int, every: int) -> int:
@@ -198,11 +240,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], width: int, names: frozenset, least: int, every: int):
         import numpy as np
 
+        found, units = names_and_units([passage(t) for _, t in items])
+        names, self.units = names | found, UNITS | units
         self.width, self.names, self.least, self.every = width, names, least, every
         self.fewest = unchanged_windows(width, least, every)
-        self.items = [(i, w, template(w, names)) for i, w in ((i, canonical_words(passage(t))) for i, t in items) if len(w) >= least]
-        keys = [[window_word(w, names) for w in ws] for _, ws, _ in self.items]
+        self.items = [(i, w, template(w, names, self.units)) for i, w in ((i, canonical_words(passage(t))) for i, t in items) if len(w) >= least]
+        keys = [[window_word(w, names, self.units) for w in ws] for _, ws, _ in self.items]
         self.vocabulary = {t: k for k, t in enumerate(sorted({t for ts in keys for t in ts}), 1)}
+        self.name = self.vocabulary.get(NAME, 0)
         hashes, owners, places = [], [], []
         for n, ts in enumerate(keys):
             h = self._hash(np.array([self.vocabulary[t] for t in ts], np.uint64))
@@ -239,7 +284,7 @@ class Index:
         for w in words:
             k = cache.get(w)
             if k is None:
-                k = cache[w] = self.vocabulary.get(window_word(w, self.names), 0)
+                k = cache[w] = self.vocabulary.get(window_word(w, self.names, self.units), 0)
             out.append(k)
         return out
 
@@ -249,11 +294,18 @@ class Index:
 
         if not len(self.hashes):
             return
-        words, flat, starts = [], [], [0]
+        words, caps, flat, starts = [], [], [], [0]
         for _, text in texts:
-            w = canonical_words(text)
+            shown = visible(text)
+            w = WORD.findall(shown.casefold())
+            own, up = self.ids(w), set()
+            if self.name and not all(own):  # a capitalised word that no passage has may stand for a name
+                raw = WORD.findall(shown)
+                up = {x for x in capitals(w, raw) if x not in self.vocabulary} if len(raw) == len(w) else up
+                own = [k or (self.name if x in up else 0) for k, x in zip(own, w)] if up else own
             words.append(w)
-            flat += self.ids(w)
+            caps.append(up)
+            flat += own
             flat.append(0)  # no window spans two documents
             starts.append(len(flat))
         if len(flat) < self.width:
@@ -282,11 +334,11 @@ class Index:
             if b - a < self.fewest:
                 continue
             d, i = int(doc[a]), int(item[a])
-            found = self._verify(words[d], diagonal[a:b], i)
+            found = self._verify(words[d], diagonal[a:b], i, caps[d])
             if found:
                 yield (texts[d][0], self.items[i][0], *found)
 
-    def _verify(self, words: list[str], diagonal, i: int):
+    def _verify(self, words: list[str], diagonal, i: int, caps: set[str]):
         """The longest leak around the hits, real words before re-parameterised ones.
 
         ``diagonal``: place in the document less place in the passage of each
@@ -309,7 +361,7 @@ class Index:
             lo, hi = a - far, b + far
             at = max(0, lo - 1)  # a unit shows by the word before
             part = words[at:hi + len(item)]
-            leaks.append(compare(item, item_t, part, template(part, self.names), lo - at, hi - at, self.least, self.every))
+            leaks.append(compare(item, item_t, part, template(part, self.names | caps, self.units), lo - at, hi - at, self.least, self.every))
         return max(filter(None, leaks), key=lambda x: (x[0] != "reparameterised", x[1], -x[2], x[0]), default=None)
 
 
@@ -366,8 +418,8 @@ def leaks(documents: DataFrame, items: DataFrame, width: int | None = None, leas
     """(doc_id, item_id, kind, n_words, n_edits, n_slots) of each document that holds an item's passage.
 
     Both sides become words whatever their case, markup, escapes and invisible
-    characters, then templates: numbers, names and units are typed
-    placeholders. Windows of ``width`` template words are joined by hash: the
+    characters, then templates: numbers, names (identifiers, what passages
+    capitalise, and ``names``) and units are typed placeholders. Windows of ``width`` template words are joined by hash: the
     items' windows are the build side, a block of at most ``block_chars``
     characters at a time, and each document's windows probe it where they are
     read, so the corpus is never shuffled, in one pass for each block. Pairs

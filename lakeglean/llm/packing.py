@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections import defaultdict, deque
 
@@ -27,23 +28,34 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+#: The vocabulary is broadcast to the workers and must not be larger than this.
+VOCABULARY_BYTES = 64 << 20
 _LOADED: dict = {}
 
 
-def load(path: str):
+def read_tokenizer(path: str) -> tuple[str, bytes, str]:
+    """(name, ranks file, pattern), read where the query is planned; the workers' machines need no such file."""
+    import public_tokenizers
+
+    if os.path.getsize(path) > VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary of more than {VOCABULARY_BYTES} bytes is too large to send")
+    with open(path, "rb") as f:
+        data = f.read()
+    return hashlib.sha256(data).hexdigest(), data, public_tokenizers.PATTERN
+
+
+def load(name: str, data: bytes, pattern: str):
     """(encoding, bytes of each token) of a ranks file, once for each worker process."""
-    if path not in _LOADED:
+    if name not in _LOADED:
         import numpy as np
-        import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             sizes[rank] = len(token)
-        _LOADED[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
-    return _LOADED[path]
+        _LOADED[name] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), sizes
+    return _LOADED[name]
 
 
 def closest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -121,11 +133,11 @@ class Packer:
 class _Pack:
     """mapInArrow function: tokenises, cuts over-long texts, packs."""
 
-    def __init__(self, capacity: int, window: int, tokenizer: str, id_col: str):
+    def __init__(self, capacity: int, window: int, tokenizer, id_col: str):
         self.capacity, self.window, self.tokenizer, self.id_col = capacity, window, tokenizer, id_col
 
     def pieces(self, ids, texts):
-        encoding, sizes = load(self.tokenizer)
+        encoding, sizes = load(*self.tokenizer.value)
         for doc, text in zip(ids, texts):
             if not text:
                 yield doc, 0, 1, 0, 0, 0, 0
@@ -188,6 +200,9 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, t
     are. A container is opened by the largest item held and filled by the
     bitset subset-sum of :func:`closest`.
 
+    ``tokenizer`` is the path of a ranks file on the machine that plans the
+    query; its content, of bounded size, is broadcast.
+
     A null or empty text has one piece of 0 tokens and no container (null).
     Rows that repeat are packed as often as they come; a null id stays null.
     Other columns of the input are ignored, whatever their names.
@@ -196,7 +211,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, t
         raise ValueError("capacity and window must be at least 1")
     ship(documents.sparkSession)
     own = documents.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().alias("part"))
-    return own.mapInArrow(_Pack(capacity, window, tokenizer or default_tokenizer(), id_col), SCHEMA.format(id=f"`{id_col}`"))
+    sent = documents.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer or default_tokenizer()))
+    return own.mapInArrow(_Pack(capacity, window, sent, id_col), SCHEMA.format(id=f"`{id_col}`"))
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

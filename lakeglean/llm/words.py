@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtbf])")
 #: Soft hyphen, zero-width and direction marks, joiners, byte order mark, variation selectors.
 _INVISIBLE = re.compile("[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180b-\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\ufe00-\\ufe0f\\ufeff]")

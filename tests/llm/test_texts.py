@@ -127,6 +127,30 @@ def brute(p, doc, least=20, every=8):
     return False
 
 
+def test_names_and_units_are_found():
+    names, units = leakage.names_and_units(["The keeper met Halvard near Ostrava. Halvard paid 30 florins and 45 florins.", "An order of 3 crates.", "The crates: Keeper Ostrava, 7 crates", "Der Hund Und Die Katze Im Haus"])
+    assert names == {"halvard", "ostrava"} and units == {"florins", "crates"}
+    assert leakage.names_and_units([]) == (frozenset(), frozenset())
+
+
+def test_planted_reparameterised_leaks(spark, rows):
+    """Other names, numbers and units throughout, changed consistently: found; inconsistently: not."""
+    rnd = random.Random(21)
+    items, docs, want = [], [], set()
+    for i in range(40):
+        filler = sentence(rnd, 30)
+        for k, w in zip(range(2, 30, 4), ("Halvard", "40 florins", "Ostrava", "Halvard", "17 florins", "Ostrava", "40 florins")):
+            filler[k] = w
+        text = " ".join(filler)
+        items.append((i, f"Read and answer.\n{text}."))
+        other = text.replace("Halvard", f"Miro{'vw'[i % 2]}").replace("Ostrava", "Tallinn").replace("40", str(100 + i)).replace("17", str(200 + i))
+        docs.append((i, f"before it {other} after it"))
+        docs.append((100 + i, other.replace("Tallinn", "Riga", 1).replace(str(100 + i), "5", 1)))
+        want.add((i, i))
+    got = found(spark, rows, docs, items)
+    assert {k for k, r in got.items() if r.kind == "reparameterised"} == want and set(got) == want
+
+
 def test_leaks_against_brute_force():
     rnd = random.Random(4)
     items = [(i, " ".join(sentence(rnd, rnd.randrange(22, 60)))) for i in range(6)]
@@ -271,10 +295,12 @@ def test_repetition_against_brute_force(spark, rows):
 
 def test_line_rules(spark, rows):
     text = "A full sentence stands here.\nHome | News | About | Contact\nno end mark on this line\nAll rights reserved by us.\n\nShort"
-    r = repetition.clean_lines(rows(DOC, [(1, text, "", 0)])).first()
-    assert (r.n_lines, r.n_punctuation, r.n_navigation, r.n_boilerplate) == (6, 2, 1, 1) and r.n_lost == 15 and r.rejected
+    others = [(i, "x\n  All rights reserved by us.\t\nAll rights reserved by us.", "", 0) for i in (2, 3)]
+    r = repetition.clean_lines(rows(DOC, [(1, text, "", 0), *others]), shared_docs=3).filter("doc_id = 1").first()
+    assert (r.n_lines, r.n_punctuation, r.n_navigation, r.n_boilerplate) == (6, 2, 1, 1) and r.n_lost == 15 and r.rejected and r.rejected_for == ["punctuation"]
+    assert repetition.clean_lines(rows(DOC, [(1, text, "", 0), *others]), shared_docs=4).agg({"n_boilerplate": "max"}).first()[0] == 0
     assert not repetition.clean_lines(rows(DOC, [(1, text, "", 0)]), rules=("boilerplate",)).first().rejected
-    for bad in ({"rules": ("nope",)}, {"run": 0}, {"reject": 0}):
+    for bad in ({"rules": ("nope",)}, {"run": 0}, {"reject": 0}, {"shared_docs": 1}):
         with pytest.raises(ValueError):
             repetition.clean_lines(rows(DOC), **bad)
 
@@ -282,8 +308,8 @@ def test_line_rules(spark, rows):
 def test_kept_text(spark, rows):
     text = "A full sentence stands here.\r\nHome | News | About | Contact\nAll rights reserved by us.\n\nShort, then: a Full sentence stands HERE. Groß end."
     texts = [text, None, "", "x y z v w x y z v w.", "Straße İx one two three.\nstraße İx one two three four."]
-    docs = [(i, t, "clash", 0) for i, t in enumerate(texts)]
-    got = {r.doc_id: r for r in repetition.clean_lines(rows(DOC, docs), keep=True).collect()}
+    docs = [(i, t, "clash", 0) for i, t in enumerate(texts)] + [(9, "All rights reserved by us.", "", 0)]
+    got = {r.doc_id: r for r in repetition.clean_lines(rows(DOC, docs), keep=True, shared_docs=2).collect()}
     assert [got[i].kept_text for i in range(5)] == ["A full sentence stands here.\r\n\nShort, then: Groß end.", None, "", "x y z v w ", "Straße İx one two three.\nfour."]
     rnd = random.Random(14)
     docs = [(i, "\n".join(" ".join(rnd.choice("a b c d. e".split()) for _ in range(rnd.randrange(0, 12))) for _ in range(6)), "", 0) for i in range(40)]
