@@ -1,8 +1,10 @@
 """Full-text index splits: immutable folders of Parquet tables, published by one manifest.
 
 A split holds ``docs`` (one row a document: ordinal, typed columns, stored
-JSON), ``postings`` (one row a term of a document, sorted by field, path and
-term with small row groups, so that a term reads a few of them) and ``terms``
+JSON, by rising ordinal with small row groups, so that a page reads a few of
+them), ``postings`` (one row a term of a document, ranged and sorted by field,
+path, term and ordinal, so that a term reads a few row groups and a term that
+most documents hold still spreads over many files) and ``terms``
 (the dictionary with document frequencies). ``meta.json`` appears last, by an
 exclusive create: a split without it does not exist.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +77,10 @@ def _typed(f: Field, c: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
     if f.type in ("i64", "u64", "f64") and isinstance(inner, (T.BooleanType, T.StructType, T.MapType)):
         raise QueryError(f"field {f.name!r} of type {f.type} cannot take {inner.simpleString()}")
     if f.type == "ip_addr":
-        ip = F.udf(lambda v: None if v is None else canonical_ip(v), "string")
+        @F.pandas_udf("string")
+        def ip(values: pd.Series) -> pd.Series:
+            return values.map(lambda v: None if v is None else canonical_ip(v))
+
         cast = lambda x: ip(x)
     elif f.type == "json_object" and not isinstance(inner, T.StringType):
         cast = lambda x: F.to_json(x)
@@ -198,7 +204,7 @@ def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None
     stored = json_object([(f.name, F.col(column_of(f)), kinds[f.name], f.type == "json_object") for f in fields if f.stored])
     kept = [f for f in fields if f.fast or f.column or f.stored and f.type == "text"]
     docs = raw.select("_sid", "_doc", *(column_of(f) for f in kept), stored.alias("_stored"))
-    docs.write.partitionBy("_sid").parquet(f"{stage}/docs")
+    docs.write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/docs")
     texts = [f for f in fields if f.indexed and f.type in ("text", "json_object")]
     if texts:
         spread, cores = raw.select("_sid", "_doc", *(column_of(f) for f in texts)), spark.sparkContext.defaultParallelism
@@ -207,7 +213,7 @@ def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None
         # written once before it is ranged: sampling for the ranges would analyse every text again
         spread.mapInArrow(_Analyse(schema.to_json(), [f.name for f in texts]), f"{POSTINGS}, _sid string").write.parquet(f"{stage}/unsorted")
         rows = spark.read.schema(f"{POSTINGS}, _sid string").parquet(f"{stage}/unsorted")
-        (rows.repartitionByRange("_sid", "field", "path", "term").sortWithinPartitions("_sid", "field", "path", "term", "_doc")
+        (rows.repartitionByRange("_sid", "field", "path", "term", "_doc").sortWithinPartitions("_sid", "field", "path", "term", "_doc")
          .write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/postings"))
     _finish(spark, fs, schema, {s: p for p, s in targets.items()}, {targets[g["_path"]]: (g["docs"], g["last"]) for g in groups}, {f.name: kinds[f.name].json() for f in kept}, docs.drop("_sid").schema)
     return spark.createDataFrame([(g["_path"], g["docs"]) for g in groups], "path string, docs long")
@@ -347,13 +353,13 @@ def merge(spark: SparkSession, paths: list[str], target: str, exclude_field: str
         docs = d if docs is None else docs.unionByName(d, allowMissingColumns=True)
         if s.has("postings"):
             p = s.read("postings").withColumn("_doc", F.col("_doc") + base)
-            if exclude is not None:
-                p = p.join(d.select("_doc"), "_doc", "left_semi")
             postings = p if postings is None else postings.unionByName(p)
         base += s.meta["last"] + 1
-    docs.withColumn("_sid", F.lit(sid)).write.partitionBy("_sid").parquet(f"{stage}/docs")
+    docs.withColumn("_sid", F.lit(sid)).sortWithinPartitions("_doc").write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/docs")
     if postings is not None:
-        (postings.withColumn("_sid", F.lit(sid)).repartitionByRange("field", "path", "term").sortWithinPartitions("field", "path", "term", "_doc")
+        if exclude is not None:  # the ordinals that were kept, read back instead of excluded anew
+            postings = postings.join(spark.read.schema("_doc long").parquet(f"{stage}/docs/_sid={sid}"), "_doc", "left_semi")
+        (postings.withColumn("_sid", F.lit(sid)).repartitionByRange("field", "path", "term", "_doc").sortWithinPartitions("field", "path", "term", "_doc")
          .write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/postings"))
     kept = spark.read.parquet(f"{stage}/docs").count()
     if not kept:

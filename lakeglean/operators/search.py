@@ -3,7 +3,8 @@
 Leaves are conditions on postings rows or on document columns. Each source row
 is mapped to the flags and scores of the leaves it satisfies, rows are grouped
 by document, and the tree is one Column over those aggregates. Pages are
-ranked on (score, split, ordinal) alone; documents are joined for kept hits.
+ranked on (score, split, ordinal) alone; a page's ordinals are then literals of
+the scan that fetches its documents.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import json
 import math
 import struct
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +27,12 @@ from lakeglean.plans.schema import Field
 from lakeglean.session import ship
 
 K1, B = 1.2, 0.75
-#: A page of at most this many hits is broadcast to fetch its documents.
+#: A page of at most this many hits is ranked first and its documents are fetched by ordinal.
 BROADCAST_PAGE = 10_000
+#: Ranges of ordinals that the fetching scan is given; hits close to each other share one.
+PAGE_RANGES = 64
+#: A pattern that this many terms of the dictionary satisfy, or fewer, becomes the set of them.
+EXPANSIONS = 1024
 #: More splits than this are read by one scan instead of a union of scans.
 UNION_SPLITS = 8
 
@@ -46,11 +53,15 @@ def options_of(options, function: str) -> dict:
 
 
 # -- exclusion ---------------------------------------------------------------
-def roaring_ids(blob: bytes) -> list[int]:
-    """Ids of a portable roaring bitmap, of 32 bits or (a map of them) of 64."""
-    def read32(at: int) -> tuple[list[int], int]:
+def roaring_containers(blob: bytes) -> list[tuple[int, int, bytes]]:
+    """(first id, kind, content) of each container of a portable roaring bitmap, of 32 bits or (a map of them) of 64.
+
+    Kind 0 is runs, 1 a bitmap, 2 sorted numbers. Only heads are read here;
+    contents have 8 KB at most and are decoded where they are needed.
+    """
+    def read32(at: int, high: int, out: list) -> int:
         cookie, = struct.unpack_from("<I", blob, at)
-        start, at, runs = at, at + 4, b""
+        at, runs = at + 4, b""
         if cookie & 0xFFFF == 12347:
             n = (cookie >> 16) + 1
             runs = blob[at:at + (n + 7) // 8]
@@ -64,37 +75,30 @@ def roaring_ids(blob: bytes) -> list[int]:
         at += 4 * n
         if not runs or n >= 4:
             at += 4 * n
-        out = []
         for i, (key, less) in enumerate(heads):
-            high = key << 16
             if runs and runs[i // 8] >> i % 8 & 1:
                 m, = struct.unpack_from("<H", blob, at)
-                for a, length in struct.iter_unpack("<HH", blob[at + 2:at + 2 + 4 * m]):
-                    out.extend(range(high + a, high + a + length + 1))
-                at += 2 + 4 * m
-            elif less + 1 > 4096:
-                for j, (word,) in enumerate(struct.iter_unpack("<Q", blob[at:at + 8192])):
-                    out.extend(high + 64 * j + b for b in range(64) if word >> b & 1)
-                at += 8192
+                kind, start, size = 0, at + 2, 4 * m
             else:
-                out.extend(high + v for v, in struct.iter_unpack("<H", blob[at:at + 2 * (less + 1)]))
-                at += 2 * (less + 1)
-        del start
-        return out, at
+                kind, start, size = (1, at, 8192) if less + 1 > 4096 else (2, at, 2 * (less + 1))
+            at = start + size
+            if at > len(blob):
+                raise ValueError
+            out.append((high << 32 | key << 16, kind, blob[start:at]))
+        return at
 
     try:
         try:
-            ids, end = read32(0)
-            if end == len(blob):
-                return ids
+            out: list = []
+            if read32(0, 0, out) == len(blob):
+                return out
         except (ValueError, struct.error):
             pass
         n, = struct.unpack_from("<Q", blob, 0)
         at, out = 8, []
         for _ in range(n):
             high, = struct.unpack_from("<I", blob, at)
-            ids, at = read32(at + 4)
-            out.extend(high << 32 | i for i in ids)
+            at = read32(at + 4, high, out)
         if at != len(blob):
             raise ValueError
         return out
@@ -102,19 +106,54 @@ def roaring_ids(blob: bytes) -> list[int]:
         raise QueryError("exclude is not a roaring bitmap") from None
 
 
+def container_ids(first: int, kind: int, content: bytes):
+    """The ids of one container, as unsigned numbers."""
+    import numpy as np
+
+    if kind == 1:
+        low = np.flatnonzero(np.unpackbits(np.frombuffer(content, np.uint8), bitorder="little"))
+    else:
+        low = np.frombuffer(content, "<u2").astype(np.int64)
+        if kind == 0:
+            start, length = low[::2], low[1::2] + 1
+            low = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+    return low.astype(np.uint64) + np.uint64(first)
+
+
+def roaring_ids(blob: bytes) -> list[int]:
+    """All ids of a bitmap."""
+    return [int(i) for c in roaring_containers(blob) for i in container_ids(*c)]
+
+
+def _decoded(batches):
+    """mapInArrow function: containers to their ids, by bit pattern."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        for first, kind, content in zip(*(b.column(i).to_pylist() for i in range(3))):
+            yield pa.RecordBatch.from_arrays([pa.array(container_ids(int(first) % 2**64, kind, content).view(np.int64))], ["id"])
+
+
 def excluded_ids(spark: SparkSession, exclude, key: Column, docs: DataFrame) -> DataFrame:
-    """The ids to drop, as one column named and typed like the key; unsigned ids by their bit pattern."""
+    """The ids to drop, as one column named and typed like the key; unsigned ids by their bit pattern.
+
+    ``exclude`` is a DataFrame of one column, a bitmap, whose containers the
+    executors decode, or an iterable of ids.
+    """
     name = docs.select(key).columns[0]
     kind = docs.schema[name].dataType
-    if isinstance(exclude, (bytes, bytearray)):
-        exclude = roaring_ids(bytes(exclude))
     if isinstance(exclude, DataFrame):
         ids = exclude.select(F.col(exclude.columns[0]).cast(kind).alias(name))
-    elif isinstance(kind, T.DecimalType):
-        ids = spark.createDataFrame([(str(i % 2**64),) for i in exclude], f"`{name}` string").select(F.col(name).cast(kind).alias(name))
+        return ids.filter(F.col(name).isNotNull()).distinct()
+    if isinstance(exclude, (bytes, bytearray)):
+        rows = [((first + 2**63) % 2**64 - 2**63, k, c) for first, k, c in roaring_containers(bytes(exclude))]
+        ids = spark.createDataFrame(rows, "first long, kind int, content binary").mapInArrow(_decoded, "id long")
     else:
-        ids = spark.createDataFrame([((i + 2**63) % 2**64 - 2**63,) for i in exclude], f"`{name}` long")
-    return ids.filter(F.col(name).isNotNull()).distinct()
+        ids = spark.createDataFrame([((i + 2**63) % 2**64 - 2**63,) for i in exclude], "id long")
+    if isinstance(kind, T.DecimalType):
+        ids = ids.selectExpr("cast(id as decimal(20, 0)) + if(id < 0, 18446744073709551616, 0) as id")
+    return ids.select(F.col("id").cast(kind).alias(name)).filter(F.col(name).isNotNull()).distinct()
 
 
 # -- evaluation --------------------------------------------------------------
@@ -140,6 +179,26 @@ def osa_distance(a: str, b: str, limit: int) -> int:
     return prev[-1]
 
 
+def _within(text: str, distance: int):
+    @F.pandas_udf("boolean")
+    def near(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda t: osa_distance(text, t, distance) <= distance)
+
+    return near
+
+
+def _ordinals(wanted: list[int]) -> Column:
+    """Ordinals in at most ``PAGE_RANGES`` ranges that hold all of these: cut where the gaps are widest."""
+    own = sorted(set(wanted))
+    cuts = sorted(sorted(range(1, len(own)), key=lambda k: own[k - 1] - own[k])[: PAGE_RANGES - 1])
+    out = None
+    for a, b in zip([0, *cuts], [*cuts, len(own)]):
+        lo, hi = own[a], own[b - 1]
+        c = F.col("_doc") == lo if lo == hi else F.col("_doc").between(lo, hi)
+        out = c if out is None else out | c
+    return out
+
+
 class Index:
     """A list of splits searched as one."""
 
@@ -147,7 +206,8 @@ class Index:
         self.spark = spark
         ship(spark)
         self.paths = [paths] if isinstance(paths, str) else list(paths)
-        self.splits = [Split(spark, p) for p in self.paths]
+        with ThreadPoolExecutor(min(16, max(len(self.paths), 1))) as pool:  # each reads one small file
+            self.splits = list(pool.map(lambda p: Split(spark, p), self.paths))
 
     # -- sources -----------------------------------------------------------
     def _read(self, part: str, splits=None) -> DataFrame | None:
@@ -266,23 +326,27 @@ class Index:
             return self.spark.createDataFrame([], empty)
         shown, highlight = self._shown(o), self._highlight_fields(o)
         page = self.ranked(query, o, exclude)
-        small = o.get("top_k") is not None and o["top_k"] <= BROADCAST_PAGE
-        if "_sort" not in page.columns:
-            page = page.withColumn("_sort", F.lit(None).cast("string"))
         docs = self.docs()
         need = sorted({column_of(f) for f in highlight} & set(docs.columns))
-        doc = shown(docs).alias("doc")
-        wide = docs.select("_split", "_doc", doc, *need)
-        hits = wide.join(F.broadcast(page) if small else page, ["_split", "_doc"])
+        mark = self._marker(query, o, highlight) if o.get("highlight") else F.lit(None).cast("string")
+        path = F.element_at(F.array(*(F.lit(p) for p in self.paths)), F.col("_split") + 1)
+        out = [F.col("score"), F.col("doc"), path.alias("path"), mark.alias("highlight")]
+        if o.get("top_k") is not None and o["top_k"] <= BROADCAST_PAGE:
+            found = page.select("_split", "_doc", "score").collect()  # the page, at most BROADCAST_PAGE narrow rows
+            if not found:
+                return self.spark.createDataFrame([], empty)
+            placed = self.spark.createDataFrame([(r[0], r[1], r[2], n) for n, r in enumerate(found)], "_split int, _doc long, score double, _rank int")
+            # JSON is built behind the join, of the page alone
+            hits = docs.filter(_ordinals([r[1] for r in found])).join(F.broadcast(placed), ["_split", "_doc"])
+            return hits.select("_rank", "_split", "score", shown(docs).alias("doc"), *need).orderBy("_rank").limit(len(found)).select(*out)
+        if "_sort" not in page.columns:
+            page = page.withColumn("_sort", F.lit(None).cast("string"))
+        hits = docs.join(page, ["_split", "_doc"]).select("_sort", "_split", "_doc", "score", shown(docs).alias("doc"), *need)
         order = [F.desc("score"), F.asc("_split"), F.asc("_doc")]
         if o.get("sort") is not None:
             down = isinstance(o["sort"], dict) and o["sort"].get("order") == "desc"
             order = [F.desc_nulls_last("_sort") if down else F.asc_nulls_last("_sort"), F.asc("_split"), F.asc("_doc")]
-        mark = self._marker(query, o, highlight) if o.get("highlight") else F.lit(None).cast("string")
-        path = F.element_at(F.array(*(F.lit(p) for p in self.paths)), F.col("_split") + 1)
-        hits = hits.orderBy(*order)
-        hits = hits.limit(o["top_k"]) if small else hits  # the page again, so that ordering it needs no exchange
-        return hits.select("score", "doc", path.alias("path"), mark.alias("highlight"))
+        return hits.orderBy(*order).select(*out)
 
     def _shown(self, o: dict):
         """Function from the docs table to the JSON column of a hit."""
@@ -379,6 +443,8 @@ class Index:
     def count_frame(self, query, options=None, exclude=None) -> DataFrame:
         """The same as one row (n)."""
         o = options_of(options, "count")
+        if exclude is None and not o.get("distinct") and not o.get("exclude_field") and (n := self._known_count(query, o)) is not None:
+            return self.spark.createDataFrame([(n if o.get("limit") is None else min(n, o["limit"]),)], "n long")
         hits = self.matches(query, o, False, exclude)
         if o.get("distinct"):
             f = self._fast(o["distinct"], ("i64", "u64", "f64", "bool", "date", "text"), "distinct")
@@ -388,6 +454,13 @@ class Index:
             return hits.limit(o["limit"] + 1).agg(F.least(F.count(F.lit(1)), F.lit(o["limit"])).alias("n"))
         return hits.agg(F.count(F.lit(1)).alias("n"))
 
+    def _known_count(self, query, o: dict) -> int | None:
+        """The matches of a single term, from the dictionary alone; None for any other query."""
+        trees = self._trees(query, o)
+        if not all(isinstance(t, ast.Term) and t.path != "*" and not s.schema.fields[t.field].column for t, s in zip(trees, self.splits)):
+            return None
+        return sum(n for i, t in enumerate(trees) for n in self._frequencies({(t.field, t.path, t.term)}, [i]).values())
+
     # -- aggregate ---------------------------------------------------------
     def matched_docs(self, query, options=None, exclude=None) -> DataFrame:
         """Fast columns, by field name, of every match."""
@@ -505,12 +578,13 @@ class _Evaluation:
             if n.kind == "prefix":
                 return at & (F.lower("term").startswith(n.text.lower()) if n.ignore_case else F.col("term").startswith(n.text))
             if n.kind == "regex":
-                return at & F.col("term").rlike(_regex(n))
+                return self._expanded(n, at, F.col("term").rlike(_regex(n)))
             if not n.distance:
                 return at & (F.col("term") == n.text)
             if not n.transpositions:
-                return at & (F.levenshtein("term", F.lit(n.text), n.distance) >= 0)
-            return at & F.col("term").isin(self._fuzzy(n))
+                return self._expanded(n, at, F.levenshtein("term", F.lit(n.text), n.distance) >= 0)
+            # a transposition is two edits of the JVM's distance, which narrows the dictionary
+            return self._expanded(n, at, (F.levenshtein("term", F.lit(n.text), 2 * n.distance) >= 0) & _within(n.text, n.distance)(F.col("term")))
         if isinstance(n, ast.Phrase):
             terms = [t for _, t in (n.terms[:-1] if n.prefix_last else n.terms)]
             c = F.col("term").isin(terms)
@@ -529,18 +603,15 @@ class _Evaluation:
         keep = self._at(n) & (F.col("vtype") == "s") & F.col("term").startswith(n.terms[-1][1])
         return [r[0] for r in terms.filter(keep).select("term").distinct().orderBy("term").limit(n.max_expansions).collect()] if terms is not None else []
 
-    def _fuzzy(self, n: ast.Pattern) -> list[str]:
-        """Terms of the dictionary within the distance, transpositions counting once.
-
-        Levenshtein in the JVM narrows the dictionary (a transposition is two of
-        its edits); only what is left is measured in Python. The terms are as
-        few as words within two edits of one word.
-        """
+    def _expanded(self, n: ast.Pattern, at: Column, test: Column) -> Column:
+        """The postings of a pattern: tested on the dictionary, if few terms satisfy it, else on the postings themselves."""
         terms = self.ix._read("terms", self.members)
         if terms is None:
-            return []
-        near = terms.filter(self._at(n) & (F.col("vtype") == "s") & (F.levenshtein("term", F.lit(n.text), 2 * n.distance) >= 0)).select("term").distinct()
-        return sorted(r[0] for r in near.collect() if osa_distance(n.text, r[0], n.distance) <= n.distance)
+            return F.lit(False)
+        found = [r[0] for r in terms.filter(at & test).select("term").distinct().limit(EXPANSIONS + 1).collect()]
+        if len(found) > EXPANSIONS:
+            return at & test
+        return at & F.col("term").isin(found) if found else F.lit(False)
 
     def _on_columns(self, n: ast.Node) -> Column:
         """The rows of ``docs`` that satisfy a leaf."""
