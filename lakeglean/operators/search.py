@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -536,28 +537,28 @@ class _Evaluation:
             docs, tokens = {i: n for i in docs}, {i: every for i in docs}
         self.docs, self.tokens = docs, tokens
 
-    def _per_split(self, value) -> Column:
+    def _per_split(self, value) -> str:
         """A number that depends on the split; one literal where all agree."""
         own = {i: value(i) for i in self.members}
         if len(set(own.values())) == 1:
-            return F.lit(float(next(iter(own.values()))))
-        return F.element_at(F.array(*(F.lit(float(own.get(i, 0.0))) for i in range(len(self.ix.splits)))), F.col("_split") + 1)
+            return _number(next(iter(own.values())))
+        return f"element_at(array({', '.join(_number(own.get(i, 0.0)) for i in range(len(self.ix.splits)))}), _split + 1)"
 
-    def _idf(self, field: str, path: str, term: str) -> Column:
+    def _idf(self, field: str, path: str, term: str) -> str:
         def idf(i: int) -> float:
             n, df = self.docs[i], self.df.get((i, field, path, term), 0)
             return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
         return self._per_split(idf)
 
-    def _norm(self, field: str, tf: Column, length: Column) -> Column:
+    def _norm(self, field: str, tf: str, length: str) -> str:
         avg = self._per_split(lambda i: max(self.tokens[i].get(field, 0), 1) / max(self.docs[i], 1))
-        return tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / avg))
+        return f"({tf} * {_number(K1 + 1)} / ({tf} + {_number(K1)} * ({_number(1 - B)} + {_number(B)} * {length} / {avg})))"
 
     # -- leaves ------------------------------------------------------------
-    def _at(self, n) -> Column:
-        c = F.col("field") == n.field
-        return c if n.path == "*" else c & (F.col("path") == n.path)
+    def _at(self, n) -> str:
+        c = f"field = {_text(n.field)}"
+        return c if n.path == "*" else f"{c} and path = {_text(n.path)}"
 
     def _on_docs(self, n: ast.Node) -> bool:
         f = self.schema.fields[n.field]
@@ -567,51 +568,54 @@ class _Evaluation:
             return f.column or f.fast and not n.path and f.type == "text"
         return f.column  # patterns and terms on facets
 
-    def _condition(self, n: ast.Node) -> Column:
-        """The rows of ``postings`` that satisfy a leaf (a phrase: that may take part in it)."""
+    def _condition(self, n: ast.Node) -> str:
+        """The rows of ``postings`` that satisfy a leaf (a phrase: that may take part in it).
+
+        Written as SQL, like all that is evaluated on postings: one call builds
+        what would take a dozen for each leaf.
+        """
+        if isinstance(n, ast.Exists):
+            c = f"field = {_text(n.field)}"
+            return f"({c} and (path = {_text(n.path)} or startswith(path, {_text(n.path + '.')})))" if n.path else f"({c})"
+        if isinstance(n, ast.Compare):
+            on, cast = ("term", _text) if n.vtype == "s" else ("num", _number)
+            tests = [f"{on} in ({', '.join(map(cast, v))})" if k == "in" else f"{on} {_OPS[k]} {cast(v)}" for k, v in n.ops.items()]
+            return f"({' and '.join([self._at(n), f'vtype = {_text(n.vtype)}', *tests])})"
+        at = f"{self._at(n)} and vtype = 's'"
         if isinstance(n, ast.Term):
-            return self._at(n) & (F.col("vtype") == "s") & (F.col("term") == n.term)
+            return f"({at} and term = {_text(n.term)})"
         if isinstance(n, ast.TermSet):
-            return self._at(n) & (F.col("vtype") == "s") & F.col("term").isin(list(n.terms))
+            return f"({at} and {_among(n.terms)})"
         if isinstance(n, ast.Pattern):
-            at = self._at(n) & (F.col("vtype") == "s")
+            text = _text(n.text)
             if n.kind == "prefix":
-                return at & (F.lower("term").startswith(n.text.lower()) if n.ignore_case else F.col("term").startswith(n.text))
+                return f"({at} and startswith(lower(term), {_text(n.text.lower())}))" if n.ignore_case else f"({at} and startswith(term, {text}))"
             if n.kind == "regex":
-                return self._expanded(n, at, F.col("term").rlike(_regex(n)))
+                return self._expanded(at, f"term rlike {_text(_regex(n))}")
             if not n.distance:
-                return at & (F.col("term") == n.text)
+                return f"({at} and term = {text})"
             if not n.transpositions:
-                return self._expanded(n, at, F.levenshtein("term", F.lit(n.text), n.distance) >= 0)
+                return self._expanded(at, f"levenshtein(term, {text}, {n.distance}) >= 0")
             # a transposition is two edits of the JVM's distance, which narrows the dictionary
-            return self._expanded(n, at, (F.levenshtein("term", F.lit(n.text), 2 * n.distance) >= 0) & _within(n.text, n.distance)(F.col("term")))
-        if isinstance(n, ast.Phrase):
-            terms = [t for _, t in (n.terms[:-1] if n.prefix_last else n.terms)]
-            c = F.col("term").isin(terms)
-            if n.prefix_last:
-                c = c | F.col("term").isin(self._expansions(n))
-            return self._at(n) & (F.col("vtype") == "s") & c
-        if isinstance(n, ast.Exists):
-            c = F.col("field") == n.field
-            return c & ((F.col("path") == n.path) | F.col("path").startswith(n.path + ".")) if n.path else c
-        c = self._at(n) & (F.col("vtype") == n.vtype)
-        return c & _compare(F.col("term") if n.vtype == "s" else F.col("num"), n.ops, (lambda v: v) if n.vtype == "s" else float)
+            near = f"lakeglean_near_{uuid.uuid4().hex}"
+            self.ix.spark.udf.register(near, _within(n.text, n.distance))
+            return self._expanded(at, f"levenshtein(term, {text}, {2 * n.distance}) >= 0 and {near}(term)")
+        terms = [t for _, t in (n.terms[:-1] if n.prefix_last else n.terms)]
+        return f"({at} and {_among([*terms, *(self._expansions(n) if n.prefix_last else [])])})"
 
     def _expansions(self, n: ast.Phrase) -> list[str]:
         """The first terms, in order, that start with a phrase's last word."""
         terms = self.ix._read("terms", self.members)
-        keep = self._at(n) & (F.col("vtype") == "s") & F.col("term").startswith(n.terms[-1][1])
+        keep = f"{self._at(n)} and vtype = 's' and startswith(term, {_text(n.terms[-1][1])})"
         return [r[0] for r in terms.filter(keep).select("term").distinct().orderBy("term").limit(n.max_expansions).collect()] if terms is not None else []
 
-    def _expanded(self, n: ast.Pattern, at: Column, test: Column) -> Column:
+    def _expanded(self, at: str, test: str) -> str:
         """The postings of a pattern: tested on the dictionary, if few terms satisfy it, else on the postings themselves."""
         terms = self.ix._read("terms", self.members)
         if terms is None:
-            return F.lit(False)
-        found = [r[0] for r in terms.filter(at & test).select("term").distinct().limit(EXPANSIONS + 1).collect()]
-        if len(found) > EXPANSIONS:
-            return at & test
-        return at & F.col("term").isin(found) if found else F.lit(False)
+            return "false"
+        found = [r[0] for r in terms.filter(f"{at} and {test}").select("term").distinct().limit(EXPANSIONS + 1).collect()]
+        return f"({at} and {test})" if len(found) > EXPANSIONS else f"({at} and {_among(found)})"
 
     def _on_columns(self, n: ast.Node) -> Column:
         """The rows of ``docs`` that satisfy a leaf."""
@@ -639,21 +643,17 @@ class _Evaluation:
         ids = [n.id for n in self.leaves]
         if on_postings and (postings := self.ix._read("postings", self.members)) is not None:
             conditions = {n.id: self._condition(n) for n in on_postings}
-            keep = None
-            for c in conditions.values():
-                keep = c if keep is None else keep | c
-            rows = postings.filter(keep)
             cols = []
             for n in self.leaves:
-                cols.append((conditions[n.id] if n.id in conditions else F.lit(False)).alias(f"f{n.id}"))
-                cols.append((self._contribution(n, conditions[n.id]) if n.id in conditions else F.lit(0.0)).alias(f"s{n.id}"))
+                own = conditions.get(n.id, "false")
+                cols += [f"{own} as f{n.id}", f"{self._contribution(n, own)} as s{n.id}"]
             for n in self.leaves:
                 if isinstance(n, ast.Phrase):
-                    for k, t in enumerate(n.terms):
-                        mine = conditions[n.id] & (F.col("term").startswith(t[1]) if n.prefix_last and k == len(n.terms) - 1 else F.col("term") == t[1])
-                        cols.append(F.when(mine, F.col("positions")).alias(f"p{n.id}_{k}"))
-                    cols.append(F.when(conditions[n.id], F.col("len")).alias(f"l{n.id}"))
-            sources.append(rows.select("_split", "_doc", *cols))
+                    for k, (_, t) in enumerate(n.terms):
+                        test = f"startswith(term, {_text(t)})" if n.prefix_last and k == len(n.terms) - 1 else f"term = {_text(t)}"
+                        cols.append(f"if({conditions[n.id]} and {test}, positions, null) as p{n.id}_{k}")
+                    cols.append(f"if({conditions[n.id]}, len, null) as l{n.id}")
+            sources.append(postings.filter(" or ".join(dict.fromkeys(conditions.values()))).selectExpr("_split", "_doc", *cols))
         if on_docs or every:
             docs = self.ix._read("docs", self.members)
             flags = {n.id: self._on_columns(n) for n in on_docs}
@@ -675,47 +675,36 @@ class _Evaluation:
         rows = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
         aggs = []
         for i in ids:
-            aggs.append(F.max(f"f{i}").alias(f"f{i}"))
             n = self.leaves[i]
+            aggs.append(f"max(f{i}) as f{i}")
             if self.scored and not isinstance(n, ast.Phrase):
-                aggs.append((F.sum(f"s{i}") if isinstance(n, ast.Term) else F.max(f"s{i}")).alias(f"s{i}"))
-            if isinstance(n, ast.Phrase):
-                aggs += [F.flatten(F.collect_list(f"p{i}_{k}")).alias(f"p{i}_{k}") for k in range(len(n.terms))]
-                aggs.append(F.max(f"l{i}").alias(f"l{i}"))
-        if not aggs:
-            aggs = [F.lit(1).alias("one")]
-        grouped = rows.groupBy("_split", "_doc").agg(*aggs)
-        for n in self.leaves:
+                aggs.append(f"{'sum' if isinstance(n, ast.Term) else 'max'}(s{i}) as s{i}")
             if isinstance(n, ast.Phrase):
-                grouped = grouped.withColumn(f"s{n.id}", self._frequency(n).cast("double"))
-                grouped = grouped.withColumn(f"f{n.id}", F.col(f"s{n.id}") > 0)
-        found = grouped.filter(self._flag(self.tree))
-        score = self._score(self.tree) if self.scored else F.lit(None)
-        return found.select("_split", "_doc", score.cast("double").alias("score"))
-
-    def _contribution(self, n: ast.Node, condition: Column) -> Column:
-        if not self.scored or isinstance(n, ast.Phrase):
-            return F.lit(0.0)
+                aggs += [f"flatten(collect_list(p{i}_{k})) as p{i}_{k}" for k in range(len(n.terms))] + [f"max(l{i}) as l{i}"]
+        grouped = rows.groupBy("_split", "_doc").agg(*map(F.expr, aggs or ["1 as one"]))
+        phrases = [n for n in self.leaves if isinstance(n, ast.Phrase)]
+        if phrases:
+            grouped = grouped.selectExpr("*", *(f"cast({self._frequency(n)} as double) as s{n.id}" for n in phrases))
+            grouped = grouped.drop(*(f"f{n.id}" for n in phrases)).selectExpr("*", *(f"s{n.id} > 0 as f{n.id}" for n in phrases))
+        score = self._score(self.tree) if self.scored else "null"
+        return grouped.filter(self._flag(self.tree)).selectExpr("_split", "_doc", f"cast({score} as double) as score")
+
+    def _contribution(self, n: ast.Node, condition: str) -> str:
+        if not self.scored or isinstance(n, ast.Phrase) or condition == "false":
+            return "0D"
         if isinstance(n, ast.Term):
-            return F.when(condition, self._idf(n.field, n.path, n.term) * self._norm(n.field, F.col("tf"), F.col("len"))).otherwise(0.0)
-        return F.when(condition, F.lit(1.0)).otherwise(0.0)
+            return f"if({condition}, {self._idf(n.field, n.path, n.term)} * {self._norm(n.field, 'tf', 'len')}, 0D)"
+        return f"if({condition}, 1D, 0D)"
 
-    def _frequency(self, n: ast.Phrase) -> Column:
+    def _frequency(self, n: ast.Phrase) -> str:
         """Starts at which every term lies at its offset, with at most ``slop`` displacement in total."""
-        first, rest = f"p{n.id}_0", [(off, f"p{n.id}_{k}") for k, (off, _) in enumerate(n.terms)][1:]
+        rest = [(off, f"p{n.id}_{k}") for k, (off, _) in enumerate(n.terms)][1:]
         if not n.slop:
-            def test(x):
-                c = F.lit(True)
-                for off, col in rest:
-                    c = c & F.array_contains(F.col(col), (x + F.lit(off)).cast("int"))
-                return c
+            test = " and ".join(f"array_contains({col}, cast(x + {off} as int))" for off, col in rest) or "true"
         else:
-            def test(x):
-                total = F.lit(0)
-                for off, col in rest:
-                    total = total + F.array_min(F.transform(F.col(col), _gap(x, off)))
-                return F.coalesce(total <= n.slop, F.lit(False))
-        return F.size(F.filter(F.col(first), test))
+            gaps = " + ".join(f"array_min(transform({col}, y -> abs(y - x - {off})))" for off, col in rest) or "0"
+            test = f"coalesce({gaps} <= {n.slop}, false)"
+        return f"size(filter(p{n.id}_0, x -> {test}))"
 
     def _everywhere(self, n: ast.Node) -> bool:
         """Whether a document without any satisfied leaf can match."""
@@ -730,68 +719,62 @@ class _Evaluation:
             return any(self._everywhere(c) for c in n.queries)
         return isinstance(n, ast.Constant) and self._everywhere(n.query)
 
-    def _flag(self, n: ast.Node) -> Column:
+    def _flag(self, n: ast.Node) -> str:
         if isinstance(n, ast.LEAVES):
-            return F.coalesce(F.col(f"f{n.id}"), F.lit(False))
+            return f"coalesce(f{n.id}, false)"
         if isinstance(n, (ast.MatchAll, ast.MatchNone)):
-            return F.lit(isinstance(n, ast.MatchAll))
+            return str(isinstance(n, ast.MatchAll)).lower()
         if isinstance(n, ast.Constant):
             return self._flag(n.query)
         if isinstance(n, ast.DisMax):
-            return self._any([self._flag(c) for c in n.queries])
-        c = F.lit(True)
-        for x in [*n.must, *n.filter]:
-            c = c & self._flag(x)
-        for x in n.must_not:
-            c = c & ~self._flag(x)
+            return self._any(n.queries)
+        c = [self._flag(x) for x in [*n.must, *n.filter]] + [f"not {self._flag(x)}" for x in n.must_not]
         if n.minimum == 1:
-            c = c & self._any([self._flag(x) for x in n.should])
+            c.append(self._any(n.should))
         elif n.minimum > 1:
-            total = F.lit(0)
-            for x in n.should:
-                total = total + self._flag(x).cast("int")
-            c = c & (total >= n.minimum)
-        return c
-
-    @staticmethod
-    def _any(flags: list[Column]) -> Column:
-        out = F.lit(False)
-        for f in flags:
-            out = out | f
-        return out
+            c.append(f"({' + '.join(f'if({self._flag(x)}, 1, 0)' for x in n.should) or '0'}) >= {n.minimum}")
+        return f"({' and '.join(c)})" if c else "true"
 
-    def _score(self, n: ast.Node) -> Column:
+    def _any(self, nodes: list[ast.Node]) -> str:
+        return f"({' or '.join(self._flag(x) for x in nodes)})" if nodes else "false"
+
+    def _score(self, n: ast.Node) -> str:
         """0 where a node does not match."""
-        b = F.lit(float(n.boost))
+        b = _number(n.boost)
         if isinstance(n, ast.Phrase):
-            idf = F.lit(0.0)
-            for _, t in n.terms:
-                idf = idf + self._idf(n.field, n.path, t)
-            s = F.col(f"s{n.id}")
-            return F.when(s > 0, b * idf * self._norm(n.field, s, F.col(f"l{n.id}"))).otherwise(0.0)
+            idf = " + ".join(self._idf(n.field, n.path, t) for _, t in n.terms)
+            return f"if(s{n.id} > 0, {b} * ({idf}) * {self._norm(n.field, f's{n.id}', f'l{n.id}')}, 0D)"
         if isinstance(n, ast.LEAVES):
-            return b * F.col(f"s{n.id}")
+            return f"({b} * s{n.id})"
         if isinstance(n, ast.MatchAll):
             return b
         if isinstance(n, ast.MatchNone):
-            return F.lit(0.0)
+            return "0D"
         if isinstance(n, ast.Constant):
-            return F.when(self._flag(n.query), b).otherwise(0.0)
+            return f"if({self._flag(n.query)}, {b}, 0D)"
+        scores = [self._score(c) for c in (n.queries if isinstance(n, ast.DisMax) else [*n.must, *n.should])]
+        total = f"({' + '.join(scores)})" if scores else "0D"
         if isinstance(n, ast.DisMax):
-            scores = [self._score(c) for c in n.queries]
-            top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-            total = scores[0]
-            for s in scores[1:]:
-                total = total + s
-            return b * (top + F.lit(float(n.tie)) * (total - top))
-        total = F.lit(0.0)
-        for c in [*n.must, *n.should]:
-            total = total + self._score(c)
-        return F.when(self._flag(n), b * total).otherwise(0.0)
-
-
-def _gap(x: Column, off: int):
-    return lambda y: F.abs(y - x - F.lit(off))
+            top = f"greatest({', '.join(scores)})" if len(scores) > 1 else scores[0]
+            return f"({b} * ({top} + {_number(n.tie)} * ({total} - {top})))"
+        return f"if({self._flag(n)}, {b} * {total}, 0D)"
+
+
+_OPS = {"eq": "=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
+
+
+def _text(v: str) -> str:
+    """The string as a literal of Spark's SQL."""
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _number(v: float) -> str:
+    v = float(v)
+    return f"{v!r}D" if math.isfinite(v) else f"cast('{v}' as double)"
+
+
+def _among(terms) -> str:
+    return f"term in ({', '.join(map(_text, terms))})" if terms else "false"
 
 
 def _compare(c: Column, ops: dict, cast) -> Column:
