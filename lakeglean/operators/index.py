@@ -115,6 +115,7 @@ class _Analyse:
     """mapInArrow function: rows of texts to postings, one for each term of a document.
 
     A document's terms are grouped where it is read, so tokens are never shuffled.
+    ``_once`` is the document's length in its first row and 0 in the others.
     """
 
     def __init__(self, schema: dict, fields: list[str]):
@@ -128,7 +129,7 @@ class _Analyse:
         for b in batches:
             sids, docs = b.column("_sid").to_pylist(), b.column("_doc").to_pylist()
             for f, analyzer in fields:
-                rows = ([], [], [], [], [], [], [], [])
+                rows = ([], [], [], [], [], [], [], [], [])
                 values, ends = [], [0]
                 for sid, doc, v in zip(sids, docs, b.column(column_of(f)).to_pylist()):
                     if v is None:
@@ -149,18 +150,18 @@ class _Analyse:
                             for pos, term in analyzer.tokens(text):
                                 groups.setdefault(term, []).append(pos + k * _VALUE_GAP)
                                 n += 1
-                    for key, at in groups.items():
+                    for k, (key, at) in enumerate(groups.items()):
                         path, vtype, term, num = key if f.type == "json_object" else ("", "s", key, None)
-                        for c, x in zip(rows, (path, vtype, term, num, doc, len(at), n, sid)):
+                        for c, x in zip(rows, (path, vtype, term, num, doc, len(at), n, sid, 0 if k else n)):
                             c.append(x)
                         values += at
                         ends.append(len(values))
-                paths, vtypes, terms, nums, own, tfs, lens, of = rows
+                paths, vtypes, terms, nums, own, tfs, lens, of, once = rows
                 positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f.name] * len(own), pa.string()), pa.array(paths, pa.string()), pa.array(vtypes, pa.string()), pa.array(terms, pa.string()), pa.array(nums, pa.float64()),
-                     pa.array(own, pa.int64()), pa.array(tfs, pa.int32()), pa.array(lens, pa.int32()), positions, pa.array(of, pa.string())],
-                    ["field", "path", "vtype", "term", "num", "_doc", "tf", "len", "positions", "_sid"])
+                     pa.array(own, pa.int64()), pa.array(tfs, pa.int32()), pa.array(lens, pa.int32()), positions, pa.array(of, pa.string()), pa.array(once, pa.int32())],
+                    ["field", "path", "vtype", "term", "num", "_doc", "tf", "len", "positions", "_sid", "_once"])
 
 
 def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None, *, path_col: str | None = None, order: str | None = None) -> DataFrame:
@@ -205,17 +206,21 @@ def build(df: DataFrame, path: str | None, schema, analyzers: dict | None = None
     kept = [f for f in fields if f.fast or f.column or f.stored and f.type == "text"]
     docs = raw.select("_sid", "_doc", *(column_of(f) for f in kept), stored.alias("_stored"))
     docs.write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/docs")
+    lengths: dict[str, dict] = {s: {} for s in targets.values()}
     texts = [f for f in fields if f.indexed and f.type in ("text", "json_object")]
     if texts:
         spread, cores = raw.select("_sid", "_doc", *(column_of(f) for f in texts)), spark.sparkContext.defaultParallelism
         if spread.rdd.getNumPartitions() < cores:  # small in bytes, but analysis is long in work
             spread = spread.repartition(cores, "_doc")
         # written once before it is ranged: sampling for the ranges would analyse every text again
-        spread.mapInArrow(_Analyse(schema.to_json(), [f.name for f in texts]), f"{POSTINGS}, _sid string").write.parquet(f"{stage}/unsorted")
+        spread.mapInArrow(_Analyse(schema.to_json(), [f.name for f in texts]), f"{POSTINGS}, _sid string, _once int").write.parquet(f"{stage}/unsorted")
+        once = spark.read.schema("field string, _sid string, _once int").parquet(f"{stage}/unsorted").groupBy("_sid", "field").agg(F.sum("_once").alias("n"))
+        for r in once.collect():  # one row a split and field
+            lengths[r["_sid"]][r["field"]] = r["n"]
         rows = spark.read.schema(f"{POSTINGS}, _sid string").parquet(f"{stage}/unsorted")
         (rows.repartitionByRange("_sid", "field", "path", "term", "_doc").sortWithinPartitions("_sid", "field", "path", "term", "_doc")
          .write.option("parquet.block.size", ROW_GROUP).partitionBy("_sid").parquet(f"{stage}/postings"))
-    _finish(spark, fs, schema, {s: p for p, s in targets.items()}, {targets[g["_path"]]: (g["docs"], g["last"]) for g in groups}, {f.name: kinds[f.name].json() for f in kept}, docs.drop("_sid").schema)
+    _finish(spark, fs, schema, {s: p for p, s in targets.items()}, {targets[g["_path"]]: (g["docs"], g["last"]) for g in groups}, {f.name: kinds[f.name].json() for f in kept}, docs.drop("_sid").schema, lengths)
     return spark.createDataFrame([(g["_path"], g["docs"]) for g in groups], "path string, docs long")
 
 
@@ -258,16 +263,17 @@ def got_type(f: Field) -> str:
     return f"array<{'string' if f.type == 'json_object' else TYPES[f.type].simpleString()}>"
 
 
-def _finish(spark: SparkSession, fs: Fs, schema: Schema, path_of: dict[str, str], counts: dict, kinds: dict[str, str], docs_schema: T.StructType) -> None:
+def _finish(spark: SparkSession, fs: Fs, schema: Schema, path_of: dict[str, str], counts: dict, kinds: dict[str, str], docs_schema: T.StructType, lengths: dict[str, dict] | None = None) -> None:
     """Dictionary, lengths and manifest of staged splits, moved to their targets; the manifest last."""
-    lengths: dict[str, dict] = {s: {} for s in path_of}
+    known = lengths is not None
+    lengths = lengths or {s: {} for s in path_of}
     if fs.exists("postings"):
         postings = spark.read.schema(f"{POSTINGS}, _sid string").option("basePath", f"{fs.root}/postings").parquet(f"{fs.root}/postings")
         (postings.groupBy("_sid", "field", "path", "vtype", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
          .repartitionByRange("_sid", "field", "path", "term").sortWithinPartitions("_sid", "field", "path", "term")
          .write.partitionBy("_sid").parquet(f"{fs.root}/terms"))
         per_doc = postings.groupBy("_sid", "field", "_doc").agg(F.max("len").alias("len"))
-        for r in per_doc.groupBy("_sid", "field").agg(F.sum("len").alias("tokens")).collect():
+        for r in [] if known else per_doc.groupBy("_sid", "field").agg(F.sum("len").alias("tokens")).collect():
             lengths[r["_sid"]][r["field"]] = r["tokens"]
     for sid, path in path_of.items():
         out = Fs(spark, path)
@@ -365,5 +371,6 @@ def merge(spark: SparkSession, paths: list[str], target: str, exclude_field: str
     if not kept:
         Fs(spark, stage).delete("")
         return 0
-    _finish(spark, Fs(spark, stage), splits[0].schema, {sid: target}, {sid: (kept, base - 1)}, kinds, docs.schema)
+    _finish(spark, Fs(spark, stage), splits[0].schema, {sid: target}, {sid: (kept, base - 1)}, kinds, docs.schema,
+            None if exclude is not None else {sid: {f: sum(s.meta["tokens"].get(f, 0) for s in splits) for s in splits for f in s.meta["tokens"]}})
     return kept

@@ -63,7 +63,7 @@ class IncrementalIndex:
         # whatever older splits hold of these rows is void from their snapshot on
         last.select(F.col(ROWID), F.col(SNAPSHOT).alias("dead_at")).write.parquet(f"{self.root}/{dead}")
         path = f"{self.root}/splits/{uuid.uuid4().hex}"
-        made = index.build(last.filter("change_type <> 'delete'"), path, self.schema, self.analyzers, order=ROWID)
+        made = index.build(last.filter("change_type <> 'delete'"), path, self.schema, self.analyzers)
         docs = made.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
         splits = s["splits"] + ([{"path": path, "snapshot": target, "docs": docs}] if docs else [])
         self._publish({"snapshot": target, "splits": splits, "dead": [*s["dead"], dead]})
