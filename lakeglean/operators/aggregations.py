@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lakeglean.plans.errors import QueryError
 
-METRICS = {"min": F.min, "max": F.max, "avg": F.avg, "sum": F.sum, "value_count": F.count, "cardinality": F.approx_count_distinct}
+METRICS = {"min": F.min, "max": F.max, "avg": F.avg, "sum": F.sum, "value_count": F.count, "cardinality": lambda c: F.approx_count_distinct(c, 0.01)}
 BUCKETS = {"terms": {"field", "size"}, "range": {"field", "ranges"}, "histogram": {"field", "interval", "offset", "min_doc_count"}, "date_histogram": {"field", "fixed_interval", "min_doc_count"}}
 #: A request to aggregate() may make at most this many buckets on one level.
 MAX_BUCKETS = 65_000

@@ -10,6 +10,8 @@ from lakeglean.session import ship
 
 #: A query or centroid block that is sent to every executor has at most this many numbers (512 MB would be 2**26).
 BLOCK_NUMBERS = 1 << 23
+#: Up to so many lists that a block of queries probes are named to the scan.
+PROBED_LISTS = 1000
 
 
 def l2(a, b):
@@ -51,6 +53,20 @@ class _Top:
         norms = (q * q).sum(1)
         best_d = np.full((len(ids), self.k), np.inf)
         best_i = np.full((len(ids), self.k), np.iinfo(np.int64).max)
+
+        def improve(own, pid, part) -> None:
+            """Hold these rows against these queries."""
+            mine = q[own]
+            if self.cosine:
+                d = np.abs(1 - mine @ _unit(part).T)
+            else:
+                d = np.sqrt(np.maximum(norms[own, None] + (part * part).sum(1)[None] - 2 * mine @ part.T, 0))
+            alld = np.concatenate([best_d[own], d], 1)
+            alli = np.concatenate([best_i[own], np.broadcast_to(pid, d.shape)], 1)
+            order = np.lexsort((alli, alld), axis=1)[:, : self.k]
+            best_d[own], best_i[own] = np.take_along_axis(alld, order, 1), np.take_along_axis(alli, order, 1)
+
+        every, asking = np.arange(len(ids)), {}
         for b in batches:
             own, vectors = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
             if not len(own):
@@ -58,17 +74,15 @@ class _Top:
             x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(own), -1)
             for at in range(0, len(own), 4096):
                 part, pid = x[at:at + 4096], own[at:at + 4096]
-                if self.cosine:
-                    d = np.abs(1 - q @ _unit(part).T)
-                else:
-                    d = np.sqrt(np.maximum(norms[:, None] + (part * part).sum(1)[None] - 2 * q @ part.T, 0))
-                if self.lists:
-                    cluster = b.column(2).to_numpy(zero_copy_only=False)[at:at + 4096]
-                    d[~(probes[:, :, None] == cluster[None, None]).any(1)] = np.inf
-                alld = np.concatenate([best_d, d], 1)
-                alli = np.concatenate([best_i, np.broadcast_to(pid, d.shape)], 1)
-                order = np.lexsort((alli, alld), axis=1)[:, : self.k]
-                best_d, best_i = np.take_along_axis(alld, order, 1), np.take_along_axis(alli, order, 1)
+                if not self.lists:
+                    improve(every, pid, part)
+                    continue
+                cluster = b.column(2).to_numpy(zero_copy_only=False)[at:at + 4096]
+                for c in np.unique(cluster).tolist():  # a list meets only the queries that probe it
+                    if c not in asking:
+                        asking[c] = np.flatnonzero((probes == c).any(1))
+                    if len(asking[c]):
+                        improve(asking[c], pid[cluster == c], part[cluster == c])
         keep = np.isfinite(best_d)
         rows = np.repeat(ids, self.k).reshape(keep.shape)[keep]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(best_i[keep], pa.int64()), pa.array(best_d[keep], pa.float64())], ["query_id", "vec_id", "distance"])
@@ -93,7 +107,7 @@ def knn(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     A stated set of queries against all rows, a block of queries at a time:
     each partition keeps its best ``k`` for each query, so only those are
     shuffled, and a window ranks them. With ``cluster_col`` and ``probes``
-    (query_id, clusters) only rows of a query's clusters count. The distance is
+    (query_id, clusters) a row meets only the queries that probe its cluster. The distance is
     Euclidean, or one minus the cosine. Rows and
     queries with a null vector are left out; all vectors need one length.
     """
@@ -106,9 +120,11 @@ def knn(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     schema, out = "query_id long, vec_id long, distance double", spark.createDataFrame([], "query_id long, vec_id long, distance double")
     for block in _blocks(q):
         ids, vs = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)
-        lists = np.array([r[2] for r in block], np.int64) if probes is not None else None
+        lists, scanned = (np.array([r[2] for r in block], np.int64), rows) if probes is not None else (None, rows)
+        if lists is not None and len(probed := np.unique(lists)) <= PROBED_LISTS:  # lists sorted by cluster are then read in part
+            scanned = rows.filter(F.col(cluster_col).isin(probed.tolist()))
         sent = spark.sparkContext.broadcast((ids, vs, lists))
-        out = out.unionByName(rows.mapInArrow(_Top(sent, k, probes is not None, cosine), schema))
+        out = out.unionByName(scanned.mapInArrow(_Top(sent, k, probes is not None, cosine), schema))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -15,7 +15,18 @@ fts_aggregate(index, query, aggs [, options [, exclude]]), fts_merge(splits,
 target [, options [, exclude]]), fts_drop(index), lake_version(path),
 volume_drop(root, volume), volume_reap(root, volume, grace seconds). Null
 arguments give null, or no rows. ``index`` is a path or an array of paths;
-``exclude`` an array of ids or a roaring bitmap.
+``exclude`` an array of ids or a roaring bitmap. fts_create_index(table, path,
+id column, array of columns [, stemmer [, stop words [, strip accents [,
+lower]]]]) indexes columns of a table, and fts_match(table, path, id column,
+query [, fields [, conjunctive]]) is the table with ``score``.
+
+A table function may be lateral, its arguments those of the relation before it:
+
+    from splits s cross join lateral fts_search(s.path, s.query) h
+
+It is then called once for each distinct list of arguments, at most
+``LATERAL_CALLS`` of them, and joined back by them; ``h`` has the arguments as
+__arg0, __arg1, ... as well.
 """
 
 from __future__ import annotations
@@ -25,9 +36,11 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeglean.operators import index
 from lakeglean.operators.search import Index
+from lakeglean.plans import macros
 from lakeglean.plans.errors import QueryError
 from lakeglean.sources.lake import LakeTable
 from lakeglean.sources.volume import VolumeStore
@@ -52,7 +65,15 @@ def _merge(spark, splits, target, options=None, exclude=None):
     return None if splits is None or target is None else index.merge(spark, splits, target, o.get("exclude_field"), exclude)
 
 
+def _match(spark, name, path, key, query, fields=None, conjunctive=False):
+    return macros.match_bm25(spark.table(name), path, key, query, fields, conjunctive)
+
+
+#: Distinct argument lists of a lateral call; more are an error.
+LATERAL_CALLS = 1000
+
 TABLES = {
+    "fts_match": _match,
     "fts_search": _search,
     "lake_table": lambda spark, path, version=None: LakeTable(spark, path).at(version, system=True),
     "lake_changes": lambda spark, path, first, last=None: LakeTable(spark, path).changes(first, last),
@@ -61,6 +82,7 @@ TABLES = {
     "volume_files": lambda spark, root, volume: VolumeStore(spark, root, read_only=True).frame(volume),
 }
 SCALARS = {
+    "fts_create_index": lambda spark, name, *rest: macros.create_index(spark.table(name), *rest),
     "fts_count": _count,
     "fts_aggregate": _aggregate,
     "fts_merge": _merge,
@@ -87,6 +109,46 @@ def _close(text: str, at: int) -> int:
     raise QueryError("a parenthesis is not closed")
 
 
+def _split(text: str) -> list[str]:
+    """Arguments: the parts between commas that no bracket or quote encloses."""
+    out, depth, at, start = [], 0, 0, 0
+    while at < len(text):
+        if m := _QUOTED.match(text, at):
+            at = m.end()
+            continue
+        depth += {"(": 1, "[": 1, "{": 1, ")": -1, "]": -1, "}": -1}.get(text[at], 0)
+        if text[at] == "," and not depth:
+            out.append(text[start:at])
+            start = at + 1
+        at += 1
+    return [*out, text[start:]]
+
+
+_LATERAL = re.compile(r"(?:,|\b(?:cross\s+|inner\s+)?join)\s+lateral\s*$", re.I)
+_FROM = re.compile(r"\bfrom\b", re.I)
+_ALIAS = re.compile(r"\s+(?:as\s+)?([A-Za-z_]\w*)")
+
+
+def _lateral(spark: SparkSession, name: str, before: str, inner: str, args: dict | None) -> tuple[str, str]:
+    """(view of all calls with their arguments, condition that joins it; its alias is %s)."""
+    rel = before[list(_FROM.finditer(before))[-1].end():]
+    parts = _split(inner)
+    used = {k: v for k, v in (args or {}).items() if re.search(rf":{k}\b", inner + rel)}
+    calls = spark.sql(f"select distinct {', '.join(f'{p} as __arg{i}' for i, p in enumerate(parts))} from {rel}", args=used or None)
+    rows = calls.limit(LATERAL_CALLS + 1).collect()
+    if len(rows) > LATERAL_CALLS:
+        raise QueryError(f"a lateral call has more than {LATERAL_CALLS} lists of arguments")
+    out = None
+    for row in rows or [[None] * len(parts)]:
+        one = TABLES[name](spark, *(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in row))
+        for f, v in zip(calls.schema.fields, row):
+            one = one.withColumn(f.name, F.lit(v).cast(f.dataType))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    view = f"__{name}_{uuid.uuid4().hex}"
+    out.createOrReplaceTempView(view)
+    return view, " and ".join(f"%s.__arg{i} <=> {p.strip().replace('%', '%%')}" for i, p in enumerate(parts))
+
+
 def _literal(v) -> str:
     if v is None:
         return "NULL"
@@ -110,6 +172,15 @@ def sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
             continue
         end, name = _close(text, m.end()), m[1].lower()
         inner = text[m.end():end]
+        before = "".join(out)
+        if name in TABLES and (lateral := _LATERAL.search(before)):
+            alias = _ALIAS.match(text, end + 1)
+            if not alias:
+                raise QueryError("a lateral call needs an alias")
+            view, on = _lateral(spark, name, before[:lateral.start()], inner, args)
+            out = [before[:lateral.start()], f" join {view} {alias[1]} on {on % ((alias[1],) * on.count('%s'))}"]
+            at = alias.end()
+            continue
         row = sql(spark, f"select {inner}", args).first() if inner.strip() else ()
         values = [bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in row]
         if name in TABLES:

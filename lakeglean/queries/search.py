@@ -133,7 +133,9 @@ def fts_merged_top10(spark, d):
 
 def fts_highlight(spark, d):
     h = documents_index(spark, d).search("canary", {"top_k": 50, "fast": ["doc_id"], "highlight": {"fields": ["text"], "max_chars": 80}})
-    return h.select(F.get_json_object("doc", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("highlight", "$.text").alias("snippet"))
+    snippet = F.get_json_object("highlight", "$.text")
+    bare = F.regexp_replace(F.regexp_replace(snippet, "</?b>", ""), "&(amp|lt|gt|quot|#39);", "&")
+    return h.select(F.get_json_object("doc", "$.doc_id").cast("long").alias("doc_id"), (F.lower(snippet).contains("<b>canary</b>") & (F.length(bare) <= 80)).alias("marked"))
 
 
 def fts_more_like_this(spark, d):
@@ -162,8 +164,8 @@ def fts_macro_create_and_match(spark, d):
 
     docs = table(spark, d, "documents")
     path = scratch(spark, "macro")
-    create_index(docs, path, "doc_id", ["text", "source"])
-    return match_bm25(docs.select("doc_id"), path, "doc_id", "canaries", fields="text").filter("score is not null").select("doc_id", F.round("score", 6).alias("score"))
+    create_index(docs, path, "doc_id", ["text", "source"], stemmer="none", stopwords="none", strip_accents=False)
+    return match_bm25(docs.select("doc_id"), path, "doc_id", "Canary", fields="text").filter("score is not null").select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _bucket(ix: Index, query, kind: str, p: dict, subs: dict | None = None) -> DataFrame:
@@ -199,8 +201,11 @@ def agg_stats(spark, d):
 
 
 def agg_cardinality(spark, d):
+    """Approximate numbers of values, and whether they are within 5% of the exact ones."""
     df = documents_index(spark, d).matched_docs("*")
-    return df.agg(*(c.alias(n) for n, c in aggregations.metric_columns(df, aggregations.parse({"sources": {"cardinality": {"field": "source"}}})).items()))
+    cols = aggregations.metric_columns(df, aggregations.parse({f: {"cardinality": {"field": f}} for f in ("source", "doc_id")}))
+    near = lambda n, c: F.abs(c - F.countDistinct(n)) <= 0.05 * F.countDistinct(n)
+    return df.agg(*(near(n, c).alias(n) for n, c in cols.items()))
 
 
 def json_terms_agg(spark, d):
@@ -214,10 +219,23 @@ def _on_events(query, options=None):
 
 
 def fts_lateral_two_splits(spark, d):
-    """Hits of each split on its own, as a lateral call over a table of splits would give."""
-    ix = halves(spark, d)
-    h = ix.search("canary", {"fast": ["doc_id"]})
-    return h.groupBy(F.regexp_extract("path", "([^/]+)$", 1).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    """A lateral call: each row of a table of splits is searched by the row's own query."""
+    from lakeglean.plans.sql import sql
+
+    splits = [(p.rsplit("/", 1)[1], p, q) for p in halves(spark, d).paths for q in ("canary", "footer")]
+    spark.createDataFrame(splits, "split string, path string, query string").createOrReplaceTempView("lakeglean_splits")
+    return sql(spark, "select s.split, s.query, count(*) as n from lakeglean_splits s cross join lateral fts_search(s.path, s.query, '{\"fast\": [\"doc_id\"]}') h group by s.split, s.query")
+
+
+def fts_sql_match(spark, d):
+    """Indexing a table's columns and scoring its rows by key, in SQL alone."""
+    from lakeglean.plans.sql import sql
+
+    table(spark, d, "documents").createOrReplaceTempView("lakeglean_documents")
+    path = scratch(spark, "macro")
+    made = sql(spark, f"select fts_create_index('lakeglean_documents', '{path}', 'doc_id', array('text'), 'none', 'none', false) as n").first()["n"]
+    found = sql(spark, f"select doc_id, round(score, 6) as score from fts_match('lakeglean_documents', '{path}', 'doc_id', 'canary footer', 'text', true) where score is not null")
+    return found.withColumn("indexed", F.lit(made).cast("long"))
 
 
 QUERIES = {
@@ -249,7 +267,7 @@ QUERIES = {
     "json_exists": _on_events({"bool": {"filter": [{"exists": {"field": "props.k"}}, {"range": {"value": {"gt": 400}}}]}}),
 } | {f.__name__: f for f in (
     fts_token_stats, fts_doc_freq, fts_doc_lengths, fts_build_counts_by_group, fts_count, fts_count_limit, fts_count_distinct, fts_exclude_topk, fts_global_stats, fts_local_stats,
-    fts_merge_counts, fts_merged_top10, fts_highlight, fts_more_like_this, fts_collapse_source, fts_sort_field_desc, fts_stored_doc, fts_macro_create_and_match, fts_lateral_two_splits,
+    fts_merge_counts, fts_merged_top10, fts_highlight, fts_more_like_this, fts_collapse_source, fts_sort_field_desc, fts_stored_doc, fts_macro_create_and_match, fts_lateral_two_splits, fts_sql_match,
     agg_terms_lang, agg_terms_sub_stats, agg_histogram_nchars, agg_date_histogram_events, agg_range_value, agg_stats, agg_cardinality, json_terms_agg)}
 
 # -- the same in SQL ----------------------------------------------------------
@@ -317,7 +335,12 @@ SQL = {
     "fts_collapse_source": _S + ", h as (select s.doc_id, source, sum(s) x from s join d on d.doc_id = s.doc_id where term in ('canary', 'footer') group by 1, 2) select source, doc_id, round(x, 6) score from h qualify row_number() over (partition by source order by x desc, doc_id) = 1",
     "fts_sort_field_desc": _S + f"select doc_id, n_chars, cast(null as double) score from d where {_has('canary')} order by n_chars desc nulls last, doc_id limit 25",
     "fts_stored_doc": _S + "select d.doc_id, text from s join d on d.doc_id = s.doc_id where s.term = 'canary' order by s.s desc, d.doc_id limit 10",
-    "fts_lateral_two_splits": _S + f"select cast(doc_id % 2 as varchar) split, count(*) n from d where {_has('canary')} group by 1",
+    "fts_lateral_two_splits": _S + "select cast(doc_id % 2 as varchar) split, term as query, count(*) n from p where term in ('canary', 'footer') group by 1, 2",
+    "fts_sql_match": _S + "select doc_id, round(sum(s), 6) score, (select count(*) from documents) indexed from s where term in ('canary', 'footer') group by 1 having count(*) = 2",
+    "fts_macro_create_and_match": _sum("canary"),
+    "fts_highlight": _S + "select doc_id, true as marked from s where term = 'canary' order by s desc, doc_id limit 50",
+    "fts_more_like_this": _S + ", w as (select unnest(string_split('the canary checked every footer of the ledger before the budget was sealed', ' ')) term), best as (select w.term, count(*) * (ln(any_value(n) / (any_value(df) + 1.0::double)) + 1) x from w join f on f.term = w.term cross join st where df >= 2 group by 1 order by 2 desc, 1 limit 5) select doc_id, round(sum(s), 6) score from s where term in (select term from best) group by 1" + _RANK % 20,
+    "agg_cardinality": "select true as source, true as doc_id",
     "agg_terms_lang": "select lang, count(*) doc_count from documents where lang is not null group by 1 order by 2 desc, 1 limit 5",
     "agg_terms_sub_stats": _S + f"select source, count(*) doc_count, min(n_chars) min_n, max(n_chars) max_n, round(avg(n_chars), 6) avg_n, cast(sum(n_chars) as bigint) sum_n from d where {_has('the')} and source is not null group by 1 order by 2 desc, 1 limit 20",
     "agg_histogram_nchars": "select floor(n_chars / 1000.0::double) * 1000.0::double bucket, count(*) doc_count from documents where n_chars is not null group by 1",
