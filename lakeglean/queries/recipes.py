@@ -114,9 +114,22 @@ def dim_table_keys(spark, d):
 
 
 def ntile_buckets(spark, d):
-    """Eight equal-depth buckets of the customers, as a sorted load is cut."""
-    c = table(spark, d, "customer").select("c_custkey", F.ntile(8).over(Window.orderBy("c_mktsegment", "c_custkey")).alias("bucket"))
-    return c.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+    """Eight equal-depth buckets of the customers, as a sorted load is cut.
+
+    Rows are ranged by the order and written; a row's number is that in its
+    part plus the rows of the parts before, so no task numbers the whole table.
+    """
+    n, path, order = 8, scratch(spark, "ranged"), ["c_mktsegment", "c_custkey"]
+    table(spark, d, "customer").select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema("c_mktsegment string, c_custkey long, part int").parquet(path)
+    sizes = sorted((r["part"], r["rows"]) for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).collect())  # one row a part
+    total, before = sum(r for _, r in sizes), dict(zip((p for p, _ in sizes), np.cumsum([0, *(r for _, r in sizes)]).tolist()))
+    offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
+    at = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(offsets), "part").withColumn("k", F.col("k") + F.col("before") - 1)
+    size, more = divmod(total, n)  # the first ``more`` buckets have one row more
+    wide = more * (size + 1)
+    bucket = F.when(F.col("k") < wide, F.floor(F.col("k") / (size + 1))).otherwise(more + F.floor((F.col("k") - wide) / max(size, 1))) + 1
+    return at.groupBy(bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
 
 
 def anti_join_new_keys(spark, d):
