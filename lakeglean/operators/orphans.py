@@ -56,12 +56,13 @@ def orphans(references: DataFrame, parents: DataFrame, key: str = "file_id") ->
     return certain.unionByName(verified)
 
 
-def store_references(chunks: DataFrame, dbfiles: DataFrame, dbchunks: DataFrame, dbgens: DataFrame) -> DataFrame:
+def store_references(chunks: DataFrame, dbfiles: DataFrame, dbchunks: DataFrame, dbgens: DataFrame, months: bool = True) -> DataFrame:
     """(src, month, file_id, n_refs) of the four tables that refer to files.
 
     month is that of the generation's newest committed_at for dbfiles and
     dbgens (null if unknown), null for the others. Counted before any shuffle
     of rows, so a file_id with a third of all rows is one row from there on.
+    Without ``months`` nothing is looked up and month is always null.
     """
     month = F.trunc("newest", "month").cast("date")
     when = dbgens.groupBy("db_id", "gen").agg(F.max("committed_at").alias("newest"))
@@ -71,9 +72,10 @@ def store_references(chunks: DataFrame, dbfiles: DataFrame, dbchunks: DataFrame,
         return df.groupBy("month", "file_id").agg(n.alias("n_refs")).select(F.lit(src).alias("src"), "month", "file_id", "n_refs")
 
     first = F.expr("transform(filter(changes, (x, i) -> i % 3 = 0), x -> x)")
-    per_gen = dbfiles.filter("file_id is not null").groupBy("db_id", "gen", "file_id").agg(F.count(F.lit(1)).alias("n"))
-    triples = dbgens.select("db_id", "gen", F.explode(first).alias("file_id")).groupBy("db_id", "gen", "file_id").agg(F.count(F.lit(1)).alias("n"))
-    dated = lambda df: df.join(when, ["db_id", "gen"], "left").select(month.alias("month"), "file_id", "n")
+    keys = ["db_id", "gen", "file_id"] if months else ["file_id"]
+    per_gen = dbfiles.filter("file_id is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    triples = dbgens.select("db_id", "gen", F.explode(first).alias("file_id")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    dated = lambda df: df.select(none.alias("month"), "file_id", "n") if not months else df.join(when, ["db_id", "gen"], "left").select(month.alias("month"), "file_id", "n")
     return (counted(chunks.select(none.alias("month"), "file_id"), "chunks")
             .unionByName(counted(dbchunks.select(none.alias("month"), "file_id"), "dbchunks"))
             .unionByName(counted(dated(per_gen), "dbfiles", F.sum("n")))
@@ -81,9 +83,9 @@ def store_references(chunks: DataFrame, dbfiles: DataFrame, dbchunks: DataFrame,
 
 
 def store_orphans(chunks: DataFrame, files: DataFrame, garbage: DataFrame, dbfiles: DataFrame, dbchunks: DataFrame,
-                  dbgens: DataFrame, dbfileids: DataFrame) -> DataFrame:
+                  dbgens: DataFrame, dbfileids: DataFrame, months: bool = True) -> DataFrame:
     """(src, month, file_id, n_refs) of references that neither parent table holds."""
-    refs = store_references(chunks, dbfiles, dbchunks, dbgens)
+    refs = store_references(chunks, dbfiles, dbchunks, dbgens, months)
     of_volume = orphans(refs.filter("src = 'chunks'"), files.select("file_id").unionByName(garbage.select("file_id")))
     of_db = orphans(refs.filter("src <> 'chunks'"), dbfileids)
     return of_volume.unionByName(of_db)

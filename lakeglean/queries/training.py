@@ -44,13 +44,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.dominant_keys(table(spark, d, "chunks"), DOMINANT)
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str, months: bool = True) -> DataFrame:
     t = lambda n: table(spark, d, n)
-    return orphans.store_orphans(t("chunks"), t("files"), t("garbage"), t("dbfiles"), t("dbchunks"), t("dbgens"), t("dbfileids"))
+    return orphans.store_orphans(t("chunks"), t("files"), t("garbage"), t("dbfiles"), t("dbchunks"), t("dbgens"), t("dbfileids"), months)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("src", "file_id").distinct()
+    return _orphans(spark, d, months=False).select("src", "file_id").distinct()
 
 
 def p3_orphans_by_period(spark: SparkSession, d: str) -> DataFrame:
