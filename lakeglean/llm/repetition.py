@@ -22,8 +22,10 @@ _END = re.compile("[.!?:;\\u2026\\u3002\\uff01\\uff1f]['\")\\]}\\u00bb\\u2019\\u
 _TRAIL = re.compile("\\s(?:[|/\\u00b7\\u00bb\\u2022\\u203a]|>+)\\s")
 #: A line is boilerplate if it stands in at least so many documents, and in at least this share of them.
 SHARED_DOCS, SHARED_SHARE = 20, 1e-4
-#: Hashes of boilerplate lines that are broadcast (32 MB); were there more, the least number of documents would be doubled until they fit.
+#: Hashes of boilerplate lines that are broadcast (32 MB); of more lines, those of fewer documents are joined to their documents instead.
 SHARED_LINES = 1 << 22
+#: Lines of at least so many documents, and broadcast anyway, stay out of that join, where each would be one key.
+HEAVY_DOCS = 1 << 16
 
 SCHEMA = ("doc_id long, n_words long, n_repeated long, repeated_share double, n_lines int, n_punctuation int, n_navigation int, n_boilerplate int, "
           "n_lost long, lost_share double, rejected boolean, rejected_for array<string>")
@@ -50,8 +52,18 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _hashes(documents: DataFrame, *columns) -> DataFrame:
+    """The given columns and ``h``, the hash of a line, once for each line that a document holds."""
+    line = f"filter(array_distinct(transform(split(text, '{_LINE_SQL}'), x -> trim(BOTH ' \t' FROM x))), x -> x <> '')"
+    return documents.filter("text is not null").select(*columns, F.expr(f"explode({line})").alias("line")).withColumn("h", F.xxhash64("line")).drop("line")
+
+
 def shared_lines(documents: DataFrame, fewest: int = SHARED_DOCS):
-    """Sorted hashes of the lines that many documents share: the corpus's own boilerplate.
+    """The lines that many documents share, the corpus's own boilerplate: those in ``fewest`` documents and more and in SHARED_SHARE of them.
+
+    Returns (hashes, counts, hot): the sorted hashes of those in ``hot``
+    documents and more, at most SHARED_LINES, and if others remain a DataFrame
+    (h, n) of all, else None.
 
     Each line counts once for a document that holds it. Lines are hashed where
     texts are read and counted before the shuffle, so a line that a third of all
@@ -59,16 +71,26 @@ def shared_lines(documents: DataFrame, fewest: int = SHARED_DOCS):
     """
     import numpy as np
 
-    line = f"filter(array_distinct(transform(split(text, '{_LINE_SQL}'), x -> trim(BOTH ' \t' FROM x))), x -> x <> '')"
-    each = documents.filter("text is not null").selectExpr(f"explode({line}) as line").selectExpr("xxhash64(line) as h")
-    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = _hashes(documents).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts.filter(F.col("n") >= fewest), "lines")
-    least = max(fewest, int(documents.count() * SHARED_SHARE))
+    least = hot = max(fewest, int(documents.count() * SHARED_SHARE))
     sizes = {int(r["b"]): r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}  # at most 64 rows
-    while sum(c for b, c in sizes.items() if 2 ** (b + 1) > least) > SHARED_LINES:
-        least = 1 << least.bit_length()
-    found = counts.filter(F.col("n") >= least).select("h").toArrow().column(0).to_numpy(zero_copy_only=False)
-    return np.sort(found.astype(np.int64))
+    while sum(c for b, c in sizes.items() if 2 ** (b + 1) > hot) > SHARED_LINES:
+        hot = 1 << hot.bit_length()
+    found = counts.filter(F.col("n") >= hot).select("h").toArrow().column(0).to_numpy(zero_copy_only=False)
+    return np.sort(found.astype(np.int64)), counts.filter(F.col("n") >= least) if hot > least else None, hot
+
+
+def with_lines(documents: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
+    """The documents with ``h``: the hashes of those of their lines that are in ``counts`` and in fewer than ``hot`` documents.
+
+    Documents are joined by a hash of all they hold. Should two share it, they
+    get the hashes of both, which are all of lines in ``counts`` anyway.
+    """
+    key = F.xxhash64("doc_id", "text").alias("key")
+    heavy = counts.filter(F.col("n") >= max(hot, HEAVY_DOCS)).select("h")
+    held = _hashes(documents, key).join(F.broadcast(heavy), "h", "left_anti").join(counts.filter(F.col("n") < hot).select("h"), "h")
+    return documents.select("*", key).join(held.groupBy("key").agg(F.collect_set("h").alias("h")), "key", "left").drop("key")
 
 
 def repeated(keys, docs, run: int = RUN):
@@ -122,31 +144,32 @@ def kept(text: str, sizes, failed, lost) -> str:
 
 
 class _Measure:
-    """mapInArrow function over (doc_id, text)."""
+    """mapInArrow function over (doc_id, text) or (doc_id, text, hashes of further shared lines)."""
 
     def __init__(self, run: int, reject: float, rules: tuple[str, ...], keep: bool, shared):
         self.run, self.reject, self.rules, self.keep, self.shared = run, reject, rules, keep, shared
 
-    def measure(self, texts):
+    def measure(self, texts, more):
         import numpy as np
 
         rules, hashes, lines, marks = self.rules, [], [], []
-        plain, shared = rules == ("repetition",), self.shared.value if self.shared else ()
+        plain = rules == ("repetition",)
+        shared = [h for h in (self.shared.value if self.shared else (), np.unique(np.array(more, np.int64))) if len(h)]
         for d, (_, text) in enumerate(texts):
             for line in _LINE.split(text or ""):
                 words = _WORD.findall(line.casefold())
                 fails = (False, False) if plain else line_failures(line, len(words))
                 lines.append((d, len(words), *(f and r in rules for f, r in zip(fails, RULES[1:])), 0))
                 hashes += map(hash, words)
-                if len(shared):
+                if shared:
                     marks.append(line_hash(line) if words else 0)
         if not texts:
             return
         table = np.array(lines, np.int64)
-        if len(shared):
-            marks = np.array(marks, np.int64)
-            at = np.minimum(np.searchsorted(shared, marks), len(shared) - 1)
-            table[:, 4] = (shared[at] == marks) & (table[:, 1] > 0)
+        marks = np.array(marks, np.int64)
+        for h in shared:
+            at = np.minimum(np.searchsorted(h, marks), len(h) - 1)
+            table[:, 4] |= (h[at] == marks) & (table[:, 1] > 0)
         doc_of, size = table[:, 0], table[:, 1]
         words_doc = np.repeat(doc_of, size)
         mask = repeated(np.array(hashes, np.int64), words_doc, self.run) if "repetition" in rules else np.zeros(len(hashes), bool)
@@ -176,14 +199,15 @@ class _Measure:
         if self.keep:
             types, names = [*types, pa.string()], [*names, "kept_text"]
         for b in batches:
-            rows, texts, size = [], [], 0
+            rows, texts, size, at = [], [], 0, 0
+            more = lambda: b.column(2).slice(at, len(texts)).flatten() if b.num_columns > 2 else ()  # noqa: B023, E731
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 texts.append((d, t))
                 size += len(t or "")
                 if size > 2_000_000:
-                    rows += self.measure(texts)
-                    texts, size = [], 0
-            rows += self.measure(texts)
+                    rows += self.measure(texts, more())
+                    texts, size, at = [], 0, at + len(texts)
+            rows += self.measure(texts, more())
             cols = list(zip(*rows)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
@@ -192,8 +216,8 @@ def clean_lines(documents: DataFrame, run: int = RUN, reject: float = REJECT, ru
     """One row for each document: what a cleaning line by line would remove, and whether too much of it.
 
     Each line is held against the ``rules``: a line failing punctuation,
-    navigation or boilerplate (it stands in ``shared_docs`` documents and
-    more, see :func:`shared_lines`) is lost as a whole; under ``repetition`` those words
+    navigation or boilerplate (it stands in ``shared_docs`` documents and more
+    and in SHARED_SHARE of them) is lost as a whole; under ``repetition`` those words
     of it are lost that lie in a run of ``run`` or more words which already
     occurred earlier in the document, word for word, across line ends and
     overlapping it or not. The document is rejected if at least ``reject`` of
@@ -206,7 +230,8 @@ def clean_lines(documents: DataFrame, run: int = RUN, reject: float = REJECT, ru
     wordless texts have shares 0 and are not rejected. Repeated rows come out
     as often as they stand; extra columns are ignored. Each document is worked
     on where it is read, whole; only hashes of lines are shuffled, for the
-    boilerplate rule.
+    boilerplate rule. Texts are shuffled, once, only where more than
+    SHARED_LINES lines are boilerplate.
     """
     if unknown := set(rules) - set(RULES):
         raise ValueError(f"unknown rules: {sorted(unknown)}")
@@ -216,5 +241,9 @@ def clean_lines(documents: DataFrame, run: int = RUN, reject: float = REJECT, ru
         raise ValueError("a line of one document is not shared")
     ship(documents.sparkSession)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = documents.sparkSession.sparkContext.broadcast(shared_lines(own, shared_docs)) if "boilerplate" in rules else None
+    shared = None
+    if "boilerplate" in rules:
+        hashes, counts, hot = shared_lines(own, shared_docs)
+        shared = documents.sparkSession.sparkContext.broadcast(hashes)
+        own = own if counts is None else with_lines(own, counts, hot)
     return own.mapInArrow(_Measure(run, reject, tuple(rules), keep, shared), SCHEMA + ", kept_text string" * keep)

@@ -316,3 +316,24 @@ def test_kept_text(spark, rows):
     for r in repetition.clean_lines(rows(DOC, docs), keep=True).collect():
         assert len(canonical_words(r.kept_text)) == r.n_words - r.n_lost
     assert "kept_text" not in repetition.clean_lines(rows(DOC)).columns
+
+
+def test_more_shared_lines_than_are_broadcast(spark, rows, monkeypatch):
+    rnd = random.Random(15)
+    lines = [f"line {i} holds word{i} and more." for i in range(60)]
+    texts = ["\n".join(["everywhere, always.", *rnd.sample(lines, rnd.randrange(9))]) for _ in range(60)]
+    docs = [(i // 2, t, "", 0) for i, t in enumerate([*texts, None, "", "\n\n", "---\n---", "---", "--\n---"])]
+    docs += [(None, lines[0] + "\n  " + lines[0], "", 0)] * 2 + [docs[1]]
+    held = Counter(x for _, t, *_ in docs for x in {x.strip() for x in (t or "").split("\n")})
+    shared = {x for x, n in held.items() if n >= 3 and x.strip("-")}
+    assert len({held[x] for x in shared}) > 4 and 0 < len(set(lines) - shared) and held["---"] == 3
+
+    def left(t):
+        return t and "".join(x for x in t.splitlines(True) if x.strip() not in shared)
+
+    want = Counter((d, t and sum(x.strip() in shared for x in t.split("\n")) or 0, left(t)) for d, t, *_ in docs)
+    for most, heavy in ((1 << 22, 1 << 16), (30, 1 << 16), (1, 1 << 16), (1, 10), (0, 1)):
+        monkeypatch.setattr(repetition, "SHARED_LINES", most)
+        monkeypatch.setattr(repetition, "HEAVY_DOCS", heavy, raising=False)
+        out = repetition.clean_lines(rows(DOC, docs).repartition(3), rules=("boilerplate",), keep=True, shared_docs=3).collect()
+        assert Counter((r.doc_id, r.n_boilerplate, r.kept_text) for r in out) == want, most
